@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tributary.llm import mixing, mojibake, sentences
+from tributary.llm import leakage, mixing, mojibake, sentences
 from tributary.session import materialise, read
 
 COMMITS = "df_all_commits_with_stats"
@@ -14,6 +15,20 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restore(read(spark, d, COMMITS).select("row_id", "author_name", "message"), "row_id", ["author_name", "message"])
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    return leakage.leaks(docs, read(spark, d, "eval_items").select("item_id", "text"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).where("run_found").select("doc_id", "item_id")
+
+
+def p8_paraphrases(spark: SparkSession, d: str) -> DataFrame:
+    near = _leaks(spark, d).where("NOT run_found AND lcs_share >= 0.4")
+    return near.select("doc_id", "item_id", F.round("cosine", 3).alias("cosine"), F.round("lcs_share", 3).alias("lcs_share"), F.round("answer_share", 3).alias("answer_share"))
+
+
 def _mixture(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents").select("doc_id", "source", "text").where("source IS NOT NULL")
     sized = mixing.token_counts(docs, "doc_id", "text", "source")
@@ -32,5 +47,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_units(read(spark, d, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p9_mixture, p9_shares, p10_found)}
+QUERIES = {f.__name__: f for f in (p6_found, p8_found, p8_paraphrases, p9_mixture, p9_shares, p10_found)}
 SQL: dict[str, str] = {}
