@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm import leakage, mixing, mojibake, sentences
+from tributary.llm import leakage, mixing, mojibake, names, sentences
 from tributary.session import materialise, read
 
 COMMITS = "df_all_commits_with_stats"
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.same_entity_pairs(names.link_variants(read(spark, d, "name_email_pairs")))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restore(read(spark, d, COMMITS).select("row_id", "author_name", "message"), "row_id", ["author_name", "message"])
 
@@ -47,5 +51,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_units(read(spark, d, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p8_found, p8_paraphrases, p9_mixture, p9_shares, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p6_found, p8_found, p8_paraphrases, p9_mixture, p9_shares, p10_found)}
 SQL: dict[str, str] = {}
