@@ -195,11 +195,11 @@ def l04_l05_l06_l07_lifespan_groups(spark: SparkSession, d: str) -> DataFrame:
     return q.select("grp", "n", "lo", "hi", F.round((F.col("hi") / 365 + nxt / 365) / 2, 3).alias("bound"))
 
 
-@query("""WITH s AS (SELECT project, count(DISTINCT date_trunc('quarter', ts)) AS early_n FROM {C} WHERE ts < TIMESTAMP '1994-01-01' GROUP BY 1), m AS (SELECT project, count(DISTINCT date_trunc('quarter', ts)) AS mid_n FROM {C} WHERE ts >= TIMESTAMP '1994-01-01' AND ts < TIMESTAMP '1996-01-01' GROUP BY 1)
+@query("""WITH s AS (SELECT project, count(DISTINCT date_trunc('quarter', ts)) AS early_n FROM {C} WHERE ts < TIMESTAMP '1997-01-01' GROUP BY 1), m AS (SELECT project, count(DISTINCT date_trunc('quarter', ts)) AS mid_n FROM {C} WHERE ts >= TIMESTAMP '1997-01-01' AND ts < TIMESTAMP '1999-01-01' GROUP BY 1)
     SELECT project, 'early' AS stage, 0::BIGINT AS shift, early_n AS windows FROM s JOIN m USING (project) UNION ALL SELECT project, 'middle', early_n, mid_n FROM s JOIN m USING (project)""")
 def l08_combined_stages(spark: SparkSession, d: str) -> DataFrame:
     """Stages laid end to end: each stage's windows are shifted by those before it; projects that miss a stage are left out."""
-    c = commits(spark, d).where("ts < TIMESTAMP_NTZ '1996-01-01'").withColumn("stage", F.when(F.expr("ts < TIMESTAMP_NTZ '1994-01-01'"), "early").otherwise("middle"))
+    c = commits(spark, d).where("ts < TIMESTAMP_NTZ '1999-01-01'").withColumn("stage", F.when(F.expr("ts < TIMESTAMP_NTZ '1997-01-01'"), "early").otherwise("middle"))
     g = c.groupBy("project", "stage").agg(F.countDistinct(F.trunc("ts", "quarter")).alias("windows"))
     w = Window.partitionBy("project").orderBy("stage")
     g = g.withColumn("shift", F.coalesce(F.sum("windows").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("k", F.count("*").over(Window.partitionBy("project")))
