@@ -15,9 +15,9 @@ from tributary.operators.components import connected_components, star_edges
 from tributary.session import materialise
 
 Q = 2  #: length of the padded q-grams
-SIMILAR = 0.66  #: q-gram Jaccard similarity at which a pair must still become a candidate
-RECALL = 0.97  #: share of pairs at SIMILAR that the banding must collide
-HASHES = 48  #: hash functions available for banding
+SIMILAR = 0.5  #: q-gram Jaccard similarity at which a pair must still become a candidate
+RECALL = 0.95  #: share of pairs at SIMILAR that the banding must collide
+HASHES = 200  #: hash functions available for banding
 MONGE = 0.9  #: least Monge-Elkan similarity of linked names
 LEXICON_SHARE = 3e-4  #: part of the rows with which a word must pair up to count as a given name or kind of organisation
 
@@ -328,6 +328,11 @@ def given_fit(a: str, b: str) -> float:
     return 0.93 if abbreviates(a, b) and min(len(a), len(b)) >= 3 else 0.0
 
 
+def initials(g: str) -> set[str]:
+    """First letters a given name may stand under: its own and those of the full names it shortens."""
+    return {x[0] for x in (g, *SHORT.get(g, ())) if x}
+
+
 def monge_elkan(a: list[str], b: list[str], inner) -> float:
     """Mean over the tokens of the shorter list of the best inner similarity in the other."""
     if len(a) > len(b):
@@ -455,16 +460,19 @@ def name_links(names: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fs, hs = [], []
-            for f in b["f"]:
+            fs, gs, hs = [], [], []
+            for f, part in b.groupby("f", sort=False)["g"]:
                 keys = band_keys(f, bands, width, seeds)
-                fs += [f] * len(keys)
-                hs += keys
-            yield pd.DataFrame({"f": fs, "h": pd.Series(hs, dtype="int64")})
+                for i in {x for g in part for x in initials(g)}:
+                    fs += [f] * len(keys)
+                    gs += [i] * len(keys)
+                    hs += keys
+            yield pd.DataFrame({"f": fs, "i": gs, "h": pd.Series(hs, dtype="int64")})
 
-    families = names.select("f").distinct()
-    banded = materialise(families.mapInPandas(run, "f string, h long"), "bands")
-    near = banded.withColumnRenamed("f", "f1").join(banded.withColumnRenamed("f", "f2"), "h").where("f1 < f2").select("f1", "f2").distinct()
+    # differing families are linked only where the given names agree, and so, nicknames resolved, do their initials
+    banded = names.select("f", "g").distinct().mapInPandas(run, "f string, i string, h long")
+    banded = materialise(banded, "bands")
+    near = banded.withColumnRenamed("f", "f1").join(banded.withColumnRenamed("f", "f2"), ["h", "i"]).where("f1 < f2").select("f1", "f2").distinct()
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -472,7 +480,7 @@ def name_links(names: DataFrame) -> DataFrame:
             yield b[pd.Series(keep, index=b.index, dtype=bool)]
 
     near = near.mapInPandas(check, "f1 string, f2 string")
-    same = families.select(F.col("f").alias("f1"), F.col("f").alias("f2"))
+    same = names.select(F.col("f").alias("f1"), F.col("f").alias("f2")).distinct()
     pairs = materialise(near.unionByName(same), "near")
     forms = names.select("v", "g", "f")
     cand = forms.select(F.col("v").alias("v1"), F.col("g").alias("g1"), F.col("f").alias("f1")).join(pairs, "f1")
