@@ -425,22 +425,26 @@ def link_variants(df: DataFrame, key: str = "row_id", name: str = "author_name",
                 if not mk and not pn:
                     continue
                 if mk:
-                    out.append((k, "e:" + mk, None, None))
-                out.append((k, f"r:{p}|{pn}|{mk}", None, None))
+                    out.append((k, "e:" + mk, None, None, False))
+                out.append((k, f"r:{p}|{pn}|{mk}", None, None, False))
                 for g, f, alias in (reader.name(n), reader.mail(mk)):
                     if alias and len(alias) >= 4:
-                        out.append((k, "a:" + alias, None, None))
+                        out.append((k, "a:" + alias, None, None, False))
                     if f and len(f) >= 3:
                         full = len(g) > 1
-                        out.append((k, f"f:{g}|{f}" if full else None, g, f))
-            yield pd.DataFrame(out, columns=["k", "link", "g", "f"])
+                        out.append((k, f"f:{g}|{f}" if full else None, g, f, bool(alias)))
+            yield pd.DataFrame(out, columns=["k", "link", "g", "f", "guess"])
 
-    read = materialise(rows.mapInPandas(read_rows, "k long, link string, g string, f string"), "read")
+    read = materialise(rows.mapInPandas(read_rows, "k long, link string, g string, f string, guess boolean"), "read")
     profile = connected_components(star_edges(read, "link", "k"))
     seen = read.select("k").distinct()
     profile = materialise(seen.join(profile, seen.k == profile.vertex, "left").select("k", F.coalesce("component", "k").alias("v")), "profiles")
     sizes = materialise(profile.groupBy("v").agg(F.count("*").alias("size")), "sizes")
-    names = read.where("f IS NOT NULL").join(profile, "k").groupBy("v", "g", "f").agg(F.count("*").alias("uses"))
+    named = read.where("f IS NOT NULL")
+    # a user name read as an initial and a family name counts only where that family name is known otherwise
+    known = named.where("NOT guess").select("f").distinct()
+    named = named.where("NOT guess").unionByName(named.where("guess").join(known, "f", "left_semi").select(named.columns))
+    names = named.join(profile, "k").groupBy("v", "g", "f").agg(F.count("*").alias("uses"))
     names = materialise(names, "names")
     links = materialise(name_links(names), "links")
     stars = star_clusters(sizes, links)
