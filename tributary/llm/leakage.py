@@ -163,8 +163,8 @@ class ItemIndex:
     def calibrate(self) -> float:
         """The least cosine at which a run of the leak length still meets its item, amid other words.
 
-        The rest of the passage is reckoned at the mean squared weight of the corpus's words and half as much again; the
-        threshold lies a fifth below the least cosine of all runs of all items.
+        The rest of the passage is reckoned as words that occur in one document only, the heaviest there are; the
+        threshold lies a fifth below the least cosine of all runs of all items, for what such words share with them.
         """
         low = 1.0
         for k, s in self.sequence.items():
@@ -173,9 +173,9 @@ class ItemIndex:
             for a in range(len(s) - need + 1):
                 ids = [self.vocabulary[w] for w in s[a : a + need]]
                 w = self.weight[ids]
-                norm = np.sqrt((w * w).sum() + 1.5 * self.filler * (size - need))
+                norm = np.sqrt((w * w).sum() + self.filler * (size - need))
                 low = min(low, float(((w @ near[ids]) / norm).max()))
-        return max(0.05, 0.8 * low)
+        return max(0.01, 0.8 * low)
 
 
 def hash_run(units) -> int:
@@ -269,7 +269,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull())
     df, n = document_frequencies(docs, text)
     idf = np.log((n + 1) / (df + 0.5)).clip(0.05).astype(np.float32)
-    filler = float((df * idf * idf).sum() / max(1.0, df.sum()))  # a term of a document, drawn at random
+    filler = float(np.log((n + 1) / 1.5).clip(0.05)) ** 2
     kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     schema = f"{key} {kind}, {item_key} {item_kind}, cosine double, lcs_share double, answer_share double, run_found boolean"
     out = None

@@ -471,7 +471,7 @@ def name_links(names: DataFrame) -> DataFrame:
                     fs += [f] * len(keys)
                     gs += [i] * len(keys)
                     hs += keys
-            yield pd.DataFrame({"f": fs, "i": gs, "h": pd.Series(hs, dtype="int64")})
+            yield pd.DataFrame({"f": pd.Series(fs, dtype="object"), "i": pd.Series(gs, dtype="object"), "h": pd.Series(hs, dtype="int64")})
 
     # differing families are linked only where the given names agree, and so, nicknames resolved, do their initials
     banded = names.select("f", "g").distinct().mapInPandas(run, "f string, i string, h long")

@@ -298,7 +298,7 @@ def train(docs: DataFrame, text: str, key: str, rounds: int = 150, l2: float = 1
                     if y >= 0:
                         ys.append(y)
                         xs.append([bucket(f, WEIGHTS) for f in features(w1, w0, nxt, mark) if nxt or not f.startswith(("c=", "n="))])
-            yield pd.DataFrame({"y": pd.Series(ys, dtype="int32"), "x": xs})
+            yield pd.DataFrame({"y": pd.Series(ys, dtype="int32"), "x": pd.Series(xs, dtype="object")})
 
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull())
     sample = rows.mapInPandas(run, "y int, x array<int>").limit(TRAIN_ROWS).toPandas()
