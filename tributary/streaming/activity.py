@@ -29,21 +29,27 @@ def sessions(events: DataFrame, ts: str, user: str, gap: str, late: str) -> Data
 
 
 def departures(events: DataFrame, ts: str, user: str, idle_ms: int, late: str) -> DataFrame:
-    """(user, last_ts, events): users for whom event time has moved ``idle_ms`` past their last event, by state and timer."""
+    """(user, last_ts, events): each time a user stayed away for ``idle_ms``, the last event before and the events up to it.
+
+    Gaps inside a batch are read off the sorted events; gaps at its end by a timer on event time.
+    """
     kind = events.schema[user].dataType.simpleString()
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, n = state.get if state.exists else (0, 0)
+        gone: list[tuple[int, int]] = []
         if state.hasTimedOut:
-            last, n = state.get
+            gone.append((last, n))
             state.remove()
-            yield pd.DataFrame({user: [key[0]], "last_ts": [pd.Timestamp(last, unit="ms")], "events": [n]})
-            return
-        last, n = state.get if state.exists else (0, 0)
-        for b in batches:
-            n += len(b)
-            last = max(last, int(b[ts].max().timestamp() * 1000))
-        state.update((last, n))
-        state.setTimeoutTimestamp(max(last + idle_ms, state.getCurrentWatermarkMs() + 1))
+        else:
+            for t in sorted(int(x.timestamp() * 1000) for b in batches for x in b[ts]):
+                if n and t - last > idle_ms:
+                    gone.append((last, n))
+                last, n = max(last, t), n + 1
+            state.update((last, n))
+            state.setTimeoutTimestamp(max(last + idle_ms, state.getCurrentWatermarkMs() + 1))
+        if gone:
+            yield pd.DataFrame({user: [key[0]] * len(gone), "last_ts": [pd.Timestamp(x, unit="ms") for x, _ in gone], "events": [k for _, k in gone]})
 
     e = events.withWatermark(ts, late)
     return e.groupBy(user).applyInPandasWithState(run, f"{user} {kind}, last_ts timestamp, events long", "last long, n long", "append", GroupStateTimeout.EventTimeTimeout)
