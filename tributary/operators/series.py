@@ -43,7 +43,7 @@ def scale_positions(df: DataFrame, values: str) -> DataFrame:
     """Each position of the series scaled to 0..1 over all series; positions without spread become 0."""
     lim = df.select(F.posexplode(values).alias("i", "v")).groupBy("i").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     lim = lim.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "lo", "hi"))), lambda x: F.struct(x["lo"].alias("lo"), (x["hi"] - x["lo"]).alias("d"))).alias("__lim"))
-    one = df.join(F.broadcast(lim))  # one row, as long as a series
+    one = df.withColumn("__lim", lim.scalar())  # one value, as long as a series
     scaled = F.transform(F.arrays_zip(F.col(values).alias("v"), F.col("__lim").alias("l")), lambda x: F.when(x["l"]["d"] > 0, (x["v"] - x["l"]["lo"]) / F.nullif(x["l"]["d"], F.lit(0.0))).otherwise(0.0))
     return one.withColumn(values, scaled).drop("__lim")
 

@@ -116,9 +116,9 @@ def t13_t14_scott_knott(spark: SparkSession, d: str) -> DataFrame:
     SELECT source, round(m, 6) AS mean, (1 + sum(CASE WHEN p - m > 0.05 * sd THEN 1 ELSE 0 END) OVER (ORDER BY m DESC))::BIGINT AS cluster FROM (SELECT source, m, lag(m) OVER (ORDER BY m DESC) AS p FROM g), s""")
 def t15_w09_gap_clusters(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents").where("source IS NOT NULL")
-    g, sd = docs.groupBy("source").agg(F.avg("n_chars").alias("m")), docs.agg(F.stddev_samp("n_chars").alias("sd"))
+    g, sd = docs.groupBy("source").agg(F.avg("n_chars").alias("m")), docs.agg(F.stddev_samp("n_chars"))
     w = Window.orderBy(F.desc("m"))  # one row per source
-    g = g.join(F.broadcast(sd)).withColumn("p", F.lag("m").over(w))
+    g = g.withColumn("sd", sd.scalar()).withColumn("p", F.lag("m").over(w))
     return g.select("source", F.round("m", 6).alias("mean"), (1 + F.sum(F.when(F.col("p") - F.col("m") > 0.05 * F.col("sd"), 1).otherwise(0)).over(w)).alias("cluster"))
 
 
@@ -187,8 +187,7 @@ def l03_l09_l11_a31_tumbling_windows(spark: SparkSession, d: str) -> DataFrame:
 def l04_l05_l06_l07_lifespan_groups(spark: SparkSession, d: str) -> DataFrame:
     """Four groups of projects by lifespan, the remainder in the last, with the midpoints between groups in years."""
     g = commits(spark, d).groupBy("project").agg(F.floor((F.unix_timestamp(F.max("ts").cast("timestamp")) - F.unix_timestamp(F.min("ts").cast("timestamp"))) / 86400).alias("days"))
-    total = g.agg(F.count("*").alias("n"))
-    r = g.withColumn("i", F.row_number().over(Window.orderBy("days", "project")) - 1).join(F.broadcast(total))  # one row per project
+    r = g.withColumn("i", F.row_number().over(Window.orderBy("days", "project")) - 1).withColumn("n", g.agg(F.count("*")).scalar())  # one row per project
     q = r.withColumn("grp", (F.least(F.floor(F.col("i") / F.floor(F.col("n") / 4)), F.lit(3)) + 1).cast("long"))
     q = q.groupBy("grp").agg(F.count("*").alias("n"), F.min("days").alias("lo"), F.max("days").alias("hi"))
     nxt = F.coalesce(F.lead("lo").over(Window.orderBy("grp")), F.col("hi"))
@@ -212,10 +211,10 @@ def l08_combined_stages(spark: SparkSession, d: str) -> DataFrame:
 def t16_t18_t19_t20_quadrants(spark: SparkSession, d: str) -> DataFrame:
     cat = commits(spark, d).select("project", "category").distinct()
     r = materialise(rates(spark, d).join(cat, "project"), "rates")
-    m = r.agg(F.median("avg_join_rate").alias("mj"), F.median("avg_leave_rate").alias("ml"))
+    r = r.withColumns({"mj": r.agg(F.median("avg_join_rate")).scalar(), "ml": r.agg(F.median("avg_leave_rate")).scalar()})
     j, lv = F.col("avg_join_rate") >= F.col("mj"), F.col("avg_leave_rate") < F.col("ml")
     quadrant = F.when(lv & j, "Attractive").when(lv, "Stable").when(j, "Unstable").otherwise("Unattractive")
-    q = r.join(F.broadcast(m)).groupBy("category", quadrant.alias("quadrant")).agg(F.count("*").alias("n"))
+    q = r.groupBy("category", quadrant.alias("quadrant")).agg(F.count("*").alias("n"))
     return q.withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("category")), 6))
 
 
@@ -227,14 +226,13 @@ def t17_density_grid(spark: SparkSession, d: str) -> DataFrame:
     Every point is spread over the fixed number of grid cells and summed there with map-side combining.
     """
     s = read(spark, d, "supplier")
-    lim = s.agg(F.min("s_acctbal").alias("lo"), F.max("s_acctbal").alias("hi"), F.count("*").alias("n"))
-    p = s.join(F.broadcast(lim)).select(((F.col("s_acctbal") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("x"), ((F.col("s_suppkey") % 101) / 101.0).alias("y"), "n")
+    s = s.withColumns({"lo": s.agg(F.min("s_acctbal")).scalar(), "hi": s.agg(F.max("s_acctbal")).scalar(), "n": s.agg(F.count("*")).scalar()})
+    p = s.select(((F.col("s_acctbal") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("x"), ((F.col("s_suppkey") % 101) / 101.0).alias("y"), "n")
     axis = F.sequence(F.lit(0), F.lit(20))
     g = p.select("x", "y", "n", F.explode(axis).alias("i")).select("x", "y", "n", "i", F.explode(axis).alias("j"))
     kernel = F.exp(-((F.col("x") - F.col("i") / 20.0) ** 2 + (F.col("y") - F.col("j") / 20.0) ** 2) / (2 * 0.01))
     k = materialise(g.groupBy("i", "j").agg((F.sum(kernel) / (F.lit(2 * np.pi * 0.01) * F.max("n"))).alias("density")), "density")
-    top = k.agg(F.max("density").alias("top"))
-    return k.join(F.broadcast(top)).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.round(F.when(F.col("density") < 0.05 * F.col("top"), 0.0).otherwise(F.col("density")), 5).alias("density"))
+    return k.withColumn("top", k.agg(F.max("density")).scalar()).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.round(F.when(F.col("density") < 0.05 * F.col("top"), 0.0).otherwise(F.col("density")), 5).alias("density"))
 
 
 # ---- stages, series, clusters

@@ -93,7 +93,7 @@ def p22_cutoff_clamp(spark: SparkSession, d: str) -> DataFrame:
 def p23_day_range_trim(spark: SparkSession, d: str) -> DataFrame:
     c = commits(spark, d).groupBy("category", F.dayofyear("ts").alias("doy")).agg(F.count("*").alias("n"))
     top = c.agg(F.max("doy").alias("top"))
-    return c.join(F.broadcast(top), (F.col("doy") > 10) & (F.col("doy") <= F.col("top") - 10)).select("category", "doy", "n")
+    return c.where((F.col("doy") > 10) & (F.col("doy") <= top.scalar() - 10)).select("category", "doy", "n")
 
 
 @query("SELECT row_id, greatest(0, least(1, try_cast(churn AS DOUBLE) / 100)) AS share FROM df_all_commits_with_stats WHERE churn IS NOT NULL AND NOT isnan(churn)")
@@ -295,8 +295,7 @@ def a11_month_day_pivot(spark: SparkSession, d: str) -> DataFrame:
     count(*) FILTER (e >= ea + 0.5 * (ez - ea) AND e < ea + 0.75 * (ez - ea)) AS w3, count(*) FILTER (e >= ea + 0.75 * (ez - ea)) AS w4, max(ts) > TIMESTAMP '1998-08-01' - INTERVAL 150 DAY AS active FROM t GROUP BY author""")
 def a12_r09_d09_four_windows(spark: SparkSession, d: str) -> DataFrame:
     c = commits(spark, d).withColumn("e", F.unix_timestamp(F.col("ts").cast("timestamp")))
-    span = c.agg(F.min("e").alias("ea"), F.max("e").alias("ez"))
-    c = c.join(F.broadcast(span))  # one row
+    c = c.withColumns({"ea": c.agg(F.min("e")).scalar(), "ez": c.agg(F.max("e")).scalar()})
     at = [F.col("ea") + q * (F.col("ez") - F.col("ea")) for q in (0.25, 0.5, 0.75)]
     e = F.col("e")
     return c.groupBy("author").agg(
@@ -360,8 +359,9 @@ def a21_r06_histogram(spark: SparkSession, d: str) -> DataFrame:
     n = contributor_file(spark, d).groupBy("project").agg(F.count("*").alias("n"))
     # the upper median from counts per value: as many rows as values
     freq = n.groupBy("n").agg(F.count("*").alias("k")).withColumn("upto", F.sum("k").over(Window.orderBy("n"))).withColumn("all", F.sum("k").over(Window.partitionBy()))
-    stats = freq.agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min(F.when(F.col("upto") > F.floor(F.col("all") / 2), F.col("n"))).alias("upper_median"))
-    return n.groupBy(F.floor(F.col("n") / 20).alias("bin")).agg(F.count("*").alias("projects")).join(F.broadcast(stats))
+    median = freq.agg(F.min(F.when(F.col("upto") > F.floor(F.col("all") / 2), F.col("n"))))
+    bins = n.groupBy(F.floor(F.col("n") / 20).alias("bin")).agg(F.count("*").alias("projects"))
+    return bins.withColumns({"least": freq.agg(F.min("n")).scalar(), "most": freq.agg(F.max("n")).scalar(), "upper_median": median.scalar()})
 
 
 @query("SELECT round(avg(least(authentic, 500) / least(total, 500)), 6) AS mean_share, round(avg(one_time / total), 6) AS mean_one_time FROM (SELECT project, count(*) FILTER (contributions > 1)::DOUBLE AS authentic, count(*) FILTER (contributions = 1)::DOUBLE AS one_time, count(*)::DOUBLE AS total FROM {CF} GROUP BY project)")
@@ -382,8 +382,8 @@ def a24_a25_method_summary(spark: SparkSession, d: str) -> DataFrame:
         F.count("*").alias("n"), F.sum("n").alias("total"), F.round(F.avg("n"), 6).alias("mean"), F.median("n").alias("med"), F.min("n").alias("lo"), F.max("n").alias("hi"),
         F.round(F.stddev_pop("n"), 6).alias("std_pop"), F.round(F.stddev_samp("n"), 6).alias("std"),
     )
-    base = s.where("method = 'distinct'").select(F.col("total").alias("base"))
-    return s.join(F.broadcast(base)).withColumn("reduction_pct", F.round(100.0 * (1 - F.col("total") / F.col("base")), 6)).drop("base")
+    base = s.where("method = 'distinct'").select(F.col("total"))
+    return s.withColumn("reduction_pct", F.round(100.0 * (1 - F.col("total") / base.scalar()), 6))
 
 
 @query("SELECT num_emails, count(*) AS n FROM contributors_all_projects GROUP BY 1 ORDER BY 1")
@@ -441,8 +441,8 @@ def w04_cumulative_to_target(spark: SparkSession, d: str) -> DataFrame:
     m = method_counts(spark, d).groupBy("project").pivot("method", ["distinct", "merged"]).agg(F.sum("n"))
     t = m.where("distinct IS NOT NULL").select("project", (F.col("distinct") - F.coalesce("merged", F.lit(0))).alias("diff"))
     run = F.sum("diff").over(Window.orderBy(F.desc("diff"), "project").rowsBetween(Window.unboundedPreceding, 0))  # one row per project
-    total = t.agg(F.sum("diff").alias("total"))
-    return t.withColumn("run", run).join(F.broadcast(total)).select("project", "diff", "run", (F.col("run") - F.col("diff") < 0.5 * F.col("total")).alias("needed"))
+    total = t.agg(F.sum("diff")).scalar()
+    return t.withColumn("run", run).select("project", "diff", "run", (F.col("run") - F.col("diff") < 0.5 * total).alias("needed"))
 
 
 @query("SELECT project, min(ts) AS first_ts, max(ts) AS last_ts, round(floor((epoch(max(ts)) - epoch(min(ts))) / 86400) / 365.0, 6) AS years FROM {C} GROUP BY project")
