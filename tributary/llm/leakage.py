@@ -151,6 +151,9 @@ class ItemIndex:
         frame = spark.createDataFrame(data, "ids array<int>, weights array<double>").repartition(4)
         self.v = randomised_svd(frame, len(vocabulary), self.rank)
         self.owner = np.array(owner)
+        self.starts = np.flatnonzero(np.concatenate([[True], self.owner[1:] != self.owner[:-1]]))
+        self.items = self.owner[self.starts]
+        self.wide_items = np.array([self.wide[k] for k in self.items.tolist()])
         self.q = np.stack([self.unit(ids) for ids in passages]).astype(np.float32)
         self.affinity = (self.v @ self.q.T).astype(np.float32)  # a word's share in the latent product with each item passage
         self.threshold = self.calibrate()
@@ -247,12 +250,11 @@ def candidate_passages(text: str, index: ItemIndex, seen: dict[str, tuple[int, f
                 r = np.where(ok, row[np.clip(w, 0, len(spans) - 1)], -1)
                 ok &= r >= 0
                 np.add.at(x, (r[ok], column[ok]), weights[at[ok]])
-            cos = (x @ index.affinity[columns]) / norm[sel][:, None]
-            for r, c in zip(*np.nonzero(cos >= index.threshold)):
-                item = int(index.owner[c])
-                if index.wide[item] == wide:
-                    s = sel[r]
-                    yield int(lo[s]), int(hi[s]), item, float(cos[r, c]), wide, terms
+            # the nearest passage of each item; an item's passages stand side by side
+            cos = np.maximum.reduceat(x @ index.affinity[columns], index.starts, axis=1) / norm[sel][:, None]
+            r, c = np.nonzero((cos >= index.threshold) & (index.wide_items == wide))
+            for a, b, item, near_by in zip(lo[sel[r]].tolist(), hi[sel[r]].tolist(), index.items[c].tolist(), cos[r, c].tolist()):
+                yield a, b, item, near_by, wide, terms
 
 
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text", rank: int = RANK) -> DataFrame:
@@ -289,10 +291,15 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str
                 found: dict[tuple, list] = {}
                 for d, t in zip(b["k"], b["t"]):
                     chars = letters(t) if _WIDE.search(t) else ""
+                    passages: dict[tuple[bool, int], tuple] = {}
                     for lo, hi, item, cos, wide, terms in candidate_passages(t, index, seen):
                         need = WIDE_RUN if wide else RUN
-                        units = chars[lo:hi] if wide else terms[lo:hi]
-                        exact = any(hash_run(units[i : i + need]) in index.runs[item] for i in range(len(units) - need + 1))
+                        if (wide, lo) not in passages:  # once for all items the passage comes near
+                            units = chars[lo:hi] if wide else terms[lo:hi]
+                            hashes = {hash_run(units[i : i + need]) for i in range(len(units) - need + 1)}
+                            passages[wide, lo] = (units, hashes, set(re.findall(r"\d+", units if wide else " ".join(units))))
+                        units, hashes, numbers = passages[wide, lo]
+                        exact = not hashes.isdisjoint(index.runs[item])
                         if exact:  # hashes may collide
                             mine = letters_of(index, item) if wide else index.sequence[item]
                             exact = longest_run(list(mine), list(units)) >= need
@@ -301,8 +308,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str
                             seq = index.sequence[item]
                             lcs = common_subsequence(seq, terms[lo:hi]) / max(1, min(len(seq), hi - lo)) if exact or cos > 0.35 else 0.0
                             ans = index.answers[item]
-                            share = len(ans & set(re.findall(r"\d+", units if wide else " ".join(units)))) / len(ans) if ans else 0.0
-                            found[d, item] = [cos, lcs, share, exact]
+                            found[d, item] = [cos, lcs, len(ans & numbers) / len(ans) if ans else 0.0, exact]
                 yield pd.DataFrame([(d, i, *v) for (d, i), v in found.items()], columns=[key, item_key, "cosine", "lcs_share", "answer_share", "run_found"])
 
         part = rows.mapInPandas(run, schema)
