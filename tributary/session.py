@@ -87,3 +87,12 @@ def ship(spark: SparkSession) -> None:
             z.write(p, str(Path(root.name) / p.relative_to(root)))
     spark.sparkContext.addPyFile(str(target))
     _shipped.add(app)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` on at least as many partitions as there are cores, for work in Python on tables of few file splits.
+
+    Tables with enough splits, as all large ones have, are left as they are and are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
