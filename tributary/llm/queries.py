@@ -6,21 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm import leakage, mixing, mojibake, names, sentences
-from tributary.session import materialise, read
+from tributary.session import materialise, read, spread
 
 COMMITS = "df_all_commits_with_stats"
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return names.same_entity_pairs(names.link_variants(read(spark, d, "name_email_pairs")))
+    return names.same_entity_pairs(names.link_variants(spread(read(spark, d, "name_email_pairs"))))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return mojibake.restore(read(spark, d, COMMITS).select("row_id", "author_name", "message"), "row_id", ["author_name", "message"])
+    return mojibake.restore(spread(read(spark, d, COMMITS).select("row_id", "author_name", "message")), "row_id", ["author_name", "message"])
 
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents").select("doc_id", "text")
+    docs = spread(read(spark, d, "documents").select("doc_id", "text"))
     return leakage.leaks(docs, read(spark, d, "eval_items").select("item_id", "text"))
 
 
@@ -35,6 +35,7 @@ def p8_paraphrases(spark: SparkSession, d: str) -> DataFrame:
 
 def _mixture(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents").select("doc_id", "source", "text").where("source IS NOT NULL")
+    docs = spread(docs)
     sized = mixing.token_counts(docs, "doc_id", "text", "source")
     return mixing.mixture(sized, read(spark, d, "mix_targets"))
 
@@ -48,7 +49,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return sentences.sentence_units(read(spark, d, "documents").select("doc_id", "text"))
+    return sentences.sentence_units(spread(read(spark, d, "documents").select("doc_id", "text")))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p6_found, p8_found, p8_paraphrases, p9_mixture, p9_shares, p10_found)}
