@@ -91,21 +91,35 @@ def local_part(email: Column) -> Column:
     return F.substring_index(F.lower(F.trim(email)), "@", 1)
 
 
-def blocked_author_pairs(authors: DataFrame, project: str, key: str, name: str, email: str, most: int = 500) -> DataFrame:
+#: Rows of a block that meet in one task: larger blocks are split into parts of this size on one side of the join.
+BLOCK_PART = 200
+
+
+def sized_projects(authors: DataFrame, project: str, most: int | None) -> DataFrame:
+    """(project, distinct_pairs, skipped): the authors of each project, and whether the guard ``most`` leaves it out."""
+    g = authors.groupBy(F.col(project).alias("project")).agg(F.count("*").alias("distinct_pairs"))
+    return g.withColumn("skipped", F.lit(False) if most is None else F.col("distinct_pairs") > most)
+
+
+def blocked_author_pairs(authors: DataFrame, project: str, key: str, name: str, email: str, most: int | None = None) -> DataFrame:
     """Pairs of authors of a project that share the first or last token of the name or the local part of the address.
 
-    Each pair once, smaller key first, as (project, k1, k2, n1, n2, e1, e2). Projects with more than ``most``
-    authors are skipped, as a guard against quadratic work. Blocks join on (project, token), so no task holds a whole project.
+    Each pair once, smaller key first, as (project, k1, k2, n1, n2, e1, e2). Blocks join on (project, token), so no task holds
+    a whole project; a block of more than ``BLOCK_PART`` authors is dealt out in parts, each of which meets the whole block. A pair
+    comes from the first token it shares, so pairs are not shuffled. ``most``, where given, skips projects with more authors.
     """
     p = name_parts(F.col(name))
     a = authors.select(F.col(project).alias("project"), F.col(key).alias("k"), F.col(name).alias("n"), F.col(email).alias("e"), p["fn"].alias("fn"), p["ln"].alias("ln"), local_part(F.col(email)).alias("un"))
-    small = a.groupBy("project").agg(F.count("*").alias("c")).where(F.col("c") <= most).select("project")
-    a = a.join(small, "project")
-    tokens = F.array_distinct(F.filter(F.array("fn", "ln", "un"), lambda t: t != ""))
-    b = a.select("project", "k", "n", "e", F.explode(tokens).alias("t"))
-    l = b.select("project", "t", F.col("k").alias("k1"), F.col("n").alias("n1"), F.col("e").alias("e1"))
-    r = b.select("project", "t", F.col("k").alias("k2"), F.col("n").alias("n2"), F.col("e").alias("e2"))
-    return l.join(r, ["project", "t"]).where("k1 < k2").drop("t").dropDuplicates(["k1", "k2"])
+    if most is not None:
+        a = a.join(sized_projects(authors, project, most).where("NOT skipped").select("project"), "project")
+    a = a.withColumn("ts", F.array_distinct(F.filter(F.array("fn", "ln", "un"), lambda t: t != "")))
+    b = a.select("project", "k", "n", "e", "ts", F.explode("ts").alias("t"))
+    parts = b.groupBy("project", "t").agg(F.count("*").alias("c")).where("c > 1").select("project", "t", F.ceil(F.col("c") / BLOCK_PART).cast("int").alias("parts"))
+    b = b.join(parts, ["project", "t"])
+    l = b.select("project", "t", F.pmod(F.hash("k"), "parts").alias("part"), F.col("k").alias("k1"), F.col("n").alias("n1"), F.col("e").alias("e1"), F.col("ts").alias("ts1"))
+    r = b.select("project", "t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("k").alias("k2"), F.col("n").alias("n2"), F.col("e").alias("e2"), F.col("ts").alias("ts2"))
+    first = F.element_at(F.array_intersect("ts1", "ts2"), 1) == F.col("t")
+    return l.join(r, ["project", "t", "part"]).where("k1 < k2").where(first).select("project", "k1", "k2", "n1", "n2", "e1", "e2")
 
 
 def pair_features(pairs: DataFrame) -> DataFrame:

@@ -149,7 +149,13 @@ def authors(spark: SparkSession, d: str) -> DataFrame:
     b AS (SELECT project, k, unnest(list_distinct([string_split(n, ' ')[1], string_split(n, ' ')[-1], split_part(lower(trim(author_email)), '@', 1)])) AS t FROM (SELECT *, lower(trim(regexp_replace(author_name, '\s+', ' ', 'g'))) AS n FROM a) WHERE project IN (FROM s))
     SELECT DISTINCT x.project, x.k AS k1, y.k AS k2 FROM b x JOIN b y ON x.project = y.project AND x.t = y.t AND x.k < y.k WHERE x.t <> ''""")
 def j10_f11_author_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Author pairs of a project that share a name token or local part, in projects of at most 500 authors."""
+    """Author pairs of a project that share a name token or local part, under the reference's guard (F11) of 500 authors, as its SQL states."""
+    return similarity.blocked_author_pairs(authors(spark, d), "project", "k", "author_name", "author_email", most=500).select("project", "k1", "k2")
+
+
+@query()
+def j10_author_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The same pairs in projects of any size."""
     return similarity.blocked_author_pairs(authors(spark, d), "project", "k", "author_name", "author_email").select("project", "k1", "k2")
 
 
@@ -159,14 +165,20 @@ def f01_f08_pair_features(spark: SparkSession, d: str) -> DataFrame:
     return p.select("project", "k1", "k2", *[F.round(c, 6).alias(c) for c in ("n", "e", "ln", "fn", "un", "ifn", "ln1", "fn1")])
 
 
+def merged_counts(authors: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+    """Per project its authors, what they merge to over ``edges`` (k1, k2) and the reduction; both null where the guard ``most`` skips the project."""
+    cc = components.connected_components(edges, "k1", "k2")
+    merged = authors.join(cc, authors.k == cc.vertex, "left").groupBy("project").agg(F.countDistinct(F.coalesce("component", "k")).alias("m"))
+    g = similarity.sized_projects(authors, "project", most).join(merged, "project").withColumn("merged", F.when(~F.col("skipped"), F.col("m")))
+    return g.select("project", "distinct_pairs", "merged", (F.col("distinct_pairs") - F.col("merged")).alias("reduction"), "skipped")
+
+
 @query()
 def g04_g05_f12_threshold_merge(spark: SparkSession, d: str) -> DataFrame:
     """Authors merged where a scorer passes 0.5; the scorer is the threshold proxy n > 0.8 and un > 0.5."""
-    p = similarity.pair_features(similarity.blocked_author_pairs(authors(spark, d), "project", "k", "author_name", "author_email"))
-    cc = components.connected_components(p.where("n > 0.8 AND un > 0.5").select("k1", "k2"), "k1", "k2")
     a = authors(spark, d)
-    g = a.join(cc, a.k == cc.vertex, "left").withColumn("g", F.coalesce("component", "k"))
-    return g.groupBy("project").agg(F.count("*").alias("distinct_pairs"), F.countDistinct("g").alias("merged"), (F.count("*") - F.countDistinct("g")).alias("reduction"))
+    p = similarity.pair_features(similarity.blocked_author_pairs(a, "project", "k", "author_name", "author_email"))
+    return merged_counts(a, p.where("n > 0.8 AND un > 0.5").select("k1", "k2"))
 
 
 # ---- identity
