@@ -5,7 +5,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from tributary.operators import similarity
-from tributary.plans import texts
+from tributary.plans import exchange, texts
 
 
 def test_author_pairs_of_large_projects(spark, monkeypatch):
@@ -27,3 +27,10 @@ def test_skipped_projects_say_so(spark):
     assert whole == {"big": (5, 4, 1, False), "small": (2, 1, 1, False)}
     cut = {r["project"]: (r["merged"], r["reduction"], r["skipped"]) for r in texts.merged_counts(a, edges.where(F.col("k1") > 5), most=3).collect()}
     assert cut == {"big": (None, None, True), "small": (1, 1, False)}
+
+
+def test_comment_lines_of_all_scripts(spark, tmp_path):
+    docs = [(1, "# a\nb"), (2, "# é\n\u3000# 漢字\nх = 1\n\u00a0#"), (3, "“quoted”"), (4, ""), (5, None), (6, "\t#x\r\n##\n")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["lines"], r["comment_lines"]) for r in exchange.x14_y01_s18_comment_lines(spark, str(tmp_path)).collect()}
+    assert got == {k: (len(t.split("\n")), sum(x.strip().startswith("#") for x in t.split("\n"))) for k, t in docs if t}
