@@ -2,8 +2,8 @@
 
 Texts are cut into overlapping passages; passages become TF-IDF vectors, a randomised SVD computed over
 Spark partitions gives a latent space, and every corpus passage is compared with every item passage by
-cosine in it. Pairs above a calibrated threshold are checked for the longest common run, the longest common
-subsequence and the item's answer terms.
+cosine in it. Pairs above a calibrated threshold are checked for the longest common run and the item's answer
+terms. The longest common subsequence is taken of these and of all pairs that share enough words for the share asked for.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ ITEM_BLOCK = 400  #: items compared at a time; bounds vocabulary, vectors and ru
 PASSAGE, STEP = 20, 10  #: words in a passage and between the starts of passages
 WIDE_PASSAGE, WIDE_STEP = 40, 20  #: the same in characters for texts without blanks
 RUN, WIDE_RUN = 10, 20  #: words, or characters, in a row that make a leak
+SHARE = 0.4  #: part of a passage that an item holds in the same order where it is a paraphrase
 
 _WORD = re.compile(r"[^\W_]+")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
@@ -154,6 +155,11 @@ class ItemIndex:
         self.starts = np.flatnonzero(np.concatenate([[True], self.owner[1:] != self.owner[:-1]]))
         self.items = self.owner[self.starts]
         self.wide_items = np.array([self.wide[k] for k in self.items.tolist()])
+        self.lengths = np.array([len(self.sequence[k]) for k in self.items.tolist()])
+        self.holds = np.zeros((len(vocabulary), len(self.items)), dtype=bool)  # whether an item holds a word
+        self.masks = {k: places(s) for k, s in self.sequence.items()}
+        for c, k in enumerate(self.items.tolist()):
+            self.holds[[self.vocabulary[w] for w in self.sequence[k]], c] = True
         self.q = np.stack([self.unit(ids) for ids in passages]).astype(np.float32)
         self.affinity = (self.v @ self.q.T).astype(np.float32)  # a word's share in the latent product with each item passage
         self.threshold = self.calibrate()
@@ -185,11 +191,17 @@ def hash_run(units) -> int:
     return zlib.crc32(("" if isinstance(units, str) else " ").join(units).encode("utf-8", "surrogatepass"))
 
 
-def common_subsequence(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence (bit-parallel)."""
+def places(a: list[str]) -> dict[str, int]:
+    """The places of each term of a sequence as bits."""
     where: dict[str, int] = {}
     for i, w in enumerate(a):
         where[w] = where.get(w, 0) | 1 << i
+    return where
+
+
+def common_subsequence(a: list[str], b: list[str], where: dict[str, int] | None = None) -> int:
+    """Length of the longest common subsequence (bit-parallel); ``where`` holds the places of ``a``, if known."""
+    where = places(a) if where is None else where
     row, full = 0, (1 << len(a)) - 1
     for w in b:
         x = row | where.get(w, 0)
@@ -212,8 +224,12 @@ def longest_run(a: list[str], b: list[str]) -> int:
     return best
 
 
-def candidate_passages(text: str, index: ItemIndex, seen: dict[str, tuple[int, float]]) -> Iterator[tuple[int, int, int, float, bool, list[str]]]:
-    """(start, end, item, cosine, wide, terms) of the passages of a text that come near an item's passages."""
+def candidate_passages(text: str, index: ItemIndex, seen: dict[str, tuple[int, float]], share: float | None = None) -> Iterator[tuple[int, int, int, float, bool, list[str]]]:
+    """(start, end, item, cosine, wide, terms) of the passages of a text that come near an item's passages.
+
+    With ``share`` also of those that hold so many words of an item that a common subsequence can reach that share;
+    this loses none, since a subsequence has at most as many words.
+    """
     for wide, terms in views(text):
         if wide and not any(index.wide.values()):
             continue
@@ -235,7 +251,11 @@ def candidate_passages(text: str, index: ItemIndex, seen: dict[str, tuple[int, f
         lo, hi = np.array([a for a, _ in spans]), np.array([b for _, b in spans])
         norm = np.sqrt(np.maximum(square[hi] - square[lo], 1e-9))
         # the projection cannot be longer than the part of the passage inside the items' vocabulary
-        near = np.flatnonzero(np.sqrt(np.maximum(hit[hi] - hit[lo], 0)) >= index.threshold * norm)
+        near = np.sqrt(np.maximum(hit[hi] - hit[lo], 0)) >= index.threshold * norm
+        if share is not None:
+            inside = np.concatenate([[0], np.cumsum(known)])
+            near |= inside[hi] - inside[lo] >= share * np.minimum(hi - lo, index.lengths.min()) - 1e-9
+        near = np.flatnonzero(near & (hit[hi] > hit[lo]))
         step = WIDE_STEP if wide else STEP
         for part in range(0, len(near), 512):
             sel = near[part : part + 512]
@@ -244,26 +264,33 @@ def candidate_passages(text: str, index: ItemIndex, seen: dict[str, tuple[int, f
             at = np.flatnonzero(known[lo[sel[0]] : hi[sel[-1]]]) + lo[sel[0]]
             columns, column = np.unique(ids[at], return_inverse=True)
             x = np.zeros((len(sel), len(columns)), dtype=np.float32)
+            times = np.zeros_like(x)
             for back in (0, 1):  # a word lies in at most two passages
                 w = at // step - back
                 ok = (w >= 0) & (w < len(spans))
                 r = np.where(ok, row[np.clip(w, 0, len(spans) - 1)], -1)
                 ok &= r >= 0
                 np.add.at(x, (r[ok], column[ok]), weights[at[ok]])
+                if share is not None:
+                    np.add.at(times, (r[ok], column[ok]), 1)
             # the nearest passage of each item; an item's passages stand side by side
             cos = np.maximum.reduceat(x @ index.affinity[columns], index.starts, axis=1) / norm[sel][:, None]
-            r, c = np.nonzero((cos >= index.threshold) & (index.wide_items == wide))
+            take = cos >= index.threshold
+            if share is not None:
+                take |= times @ index.holds[columns].astype(np.float32) >= share * np.minimum.outer((hi - lo)[sel], index.lengths) - 1e-3
+            r, c = np.nonzero(take & (index.wide_items == wide))
             for a, b, item, near_by in zip(lo[sel[r]].tolist(), hi[sel[r]].tolist(), index.items[c].tolist(), cos[r, c].tolist()):
                 yield a, b, item, near_by, wide, terms
 
 
-def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text", rank: int = RANK) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text", rank: int = RANK, share: float | None = SHARE) -> DataFrame:
     """(key, item_key, cosine, lcs_share, answer_share, run_found) of every document and item that come near.
 
     ``run_found`` says that a passage of the document holds at least ten consecutive words (twenty
-    consecutive letters or digits for items in scripts without blanks) of the item; ``lcs_share`` is the part of the item's
-    passage that survives in order, for paraphrases; ``answer_share`` the part of the item's numbers the passage
-    holds. Items are taken in blocks of ``ITEM_BLOCK``, each against all documents, every text whole. Null and
+    consecutive letters or digits for items in scripts without blanks) of the item; ``lcs_share`` is the largest part of a passage, or of
+    the item where that is shorter, that stands in the item in the same order, over all passages of the document, for paraphrases: every pair that
+    reaches ``share`` has a row, and with ``share`` None it is null and not looked for. ``cosine`` and ``answer_share``, the part of the item's
+    numbers the passage holds, are those of the nearest passage, one with a run if there is any. Items are taken in blocks of ``ITEM_BLOCK``, each against all documents, every text whole. Null and
     empty texts and items shorter than a run give no rows; equal items are found each for itself. The
     documents are read once for the frequencies and once per block, without a shuffle of their texts.
     """
@@ -292,8 +319,16 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str
                 for d, t in zip(b["k"], b["t"]):
                     chars = letters(t) if _WIDE.search(t) else ""
                     passages: dict[tuple[bool, int], tuple] = {}
-                    for lo, hi, item, cos, wide, terms in candidate_passages(t, index, seen):
+                    for lo, hi, item, cos, wide, terms in candidate_passages(t, index, seen, share):
                         need = WIDE_RUN if wide else RUN
+                        old, lcs = found.get((d, item)), None
+                        if share is not None:
+                            seq = index.sequence[item]
+                            lcs = common_subsequence(seq, terms[lo:hi], index.masks[item]) / max(1, min(len(seq), hi - lo))
+                            if cos < index.threshold and lcs < share:
+                                continue  # neither near nor a paraphrase
+                            if old is not None:
+                                lcs = old[1] = max(lcs, old[1])
                         if (wide, lo) not in passages:  # once for all items the passage comes near
                             units = chars[lo:hi] if wide else terms[lo:hi]
                             hashes = {hash_run(units[i : i + need]) for i in range(len(units) - need + 1)}
@@ -303,10 +338,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str
                         if exact:  # hashes may collide
                             mine = letters_of(index, item) if wide else index.sequence[item]
                             exact = longest_run(list(mine), list(units)) >= need
-                        old = found.get((d, item))
                         if old is None or exact > old[3] or exact == old[3] and cos > old[0]:
-                            seq = index.sequence[item]
-                            lcs = common_subsequence(seq, terms[lo:hi]) / max(1, min(len(seq), hi - lo)) if exact or cos > 0.35 else 0.0
                             ans = index.answers[item]
                             found[d, item] = [cos, lcs, len(ans & numbers) / len(ans) if ans else 0.0, exact]
                 yield pd.DataFrame([(d, i, *v) for (d, i), v in found.items()], columns=[key, item_key, "cosine", "lcs_share", "answer_share", "run_found"])

@@ -19,9 +19,9 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restore(spread(read(spark, d, COMMITS).select("row_id", "author_name", "message")), "row_id", ["author_name", "message"])
 
 
-def _leaks(spark: SparkSession, d: str) -> DataFrame:
+def _leaks(spark: SparkSession, d: str, share: float | None = None) -> DataFrame:
     docs = spread(read(spark, d, "documents").select("doc_id", "text"))
-    return leakage.leaks(docs, read(spark, d, "eval_items").select("item_id", "text"))
+    return leakage.leaks(docs, read(spark, d, "eval_items").select("item_id", "text"), share=share)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -29,7 +29,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_paraphrases(spark: SparkSession, d: str) -> DataFrame:
-    near = _leaks(spark, d).where("NOT run_found AND lcs_share >= 0.4")
+    near = _leaks(spark, d, leakage.SHARE).where(F.col("lcs_share") >= leakage.SHARE).where("NOT run_found")
     return near.select("doc_id", "item_id", F.round("cosine", 3).alias("cosine"), F.round("lcs_share", 3).alias("lcs_share"), F.round("answer_share", 3).alias("answer_share"))
 
 
