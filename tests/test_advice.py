@@ -1,6 +1,9 @@
 """Whole results where earlier forms of the operators left rows out."""
 
+import math
 import random
+import re
+from collections import Counter
 from itertools import combinations
 
 from pyspark.sql import functions as F
@@ -64,3 +67,25 @@ def test_paraphrases_match_brute_force(spark):
     got = leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).where("lcs_share >= 0.4").collect()
     assert {(x["doc_id"], x["item_id"]): round(x["lcs_share"], 6) for x in got} == want and len(want) > 60
     assert any(x["cosine"] <= 0.35 for x in got)
+
+
+def test_threshold_merge_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "PROFILE_BLOCK", 20)
+    monkeypatch.setattr(similarity, "PROFILE_WORDS", 16)
+    r = random.Random(4)
+    people = [(p, k, r.choice(["Ann Berg", "Anne Bergh", "Otto Lund", "Xiu Wyk", "bergann"]), f"m{k}@x" if k % 5 else f"none{k}") for k, p in enumerate(["a"] * 90 + ["b"] * 30)]
+    commits = [(p, f" {n}", m, " ".join(r.choice("Fix the cache LAYER in a slow_parser 42 again docs".split()) for _ in range(r.randrange(1, 9)))) for p, _, n, m in people for _ in range(r.randrange(0, 4))]
+    a = spark.createDataFrame(people, "project string, k long, author_name string, author_email string")
+    c = spark.createDataFrame(commits, "project string, author_name string, author_email string, message string")
+    bows = {k: Counter(w for q, _, e, t in commits if (q, e) == (p, m) for w in re.findall("[a-z0-9_]+", t.lower())) for p, k, _, m in people}
+    norm = {k: math.sqrt(sum(v * v for v in b.values())) for k, b in bows.items()}
+    want = set()
+    for x, y in combinations(people, 2):
+        u, v = bows[x[1]], bows[y[1]]
+        if x[0] == y[0] and u and v and sum(u[w] * v[w] for w in u) / (norm[x[1]] * norm[y[1]]) > 0.8 and similarity.winkler(x[2].lower(), y[2].lower()) > 0.5:
+            want.add((x[1], y[1]))
+    edges = texts.merge_edges(a, c)
+    got = [(e["k1"], e["k2"]) for e in edges.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+    groups = texts.multi_email_groups(a, edges).collect()
+    assert groups and all(g["num_emails"] == len(set(g["emails"])) > 1 and all("@" in e for e in g["emails"]) for g in groups)

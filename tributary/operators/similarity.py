@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -136,6 +137,62 @@ def pair_features(pairs: DataFrame) -> DataFrame:
     )
 
 
+PROFILE_BLOCK, PROFILE_WORDS = 4000, 4096  #: authors and words whose counts a task holds as one dense table
+
+
+def word_counts(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, words, counts): how often each word, as a 64-bit hash, stands in all texts of a key; keys without words have no row."""
+    w = texts.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9_]+)"), F.lit(1))).alias("w"))
+    n = w.groupBy(key, F.xxhash64("w").alias("w")).agg(F.count("*").alias("n"))
+    g = n.groupBy(key).agg(F.collect_list(F.struct("w", F.col("n").cast("int").alias("n"))).alias("x"))
+    return g.select(key, F.col("x.w").alias("words"), F.col("x.n").alias("counts"))
+
+
+def like_profiles(profiles: DataFrame, project: str, key: str, least: float) -> DataFrame:
+    """(k1, k2, d2vsim) of all pairs of a project whose word counts (columns words, counts) have a cosine above ``least``.
+
+    All pairs are compared: the authors of a project are dealt into blocks, and each two blocks meet in one task, as dense
+    products. The work grows with the square of a project's authors; the result does not depend on any common key.
+    """
+    kind = profiles.schema[key].dataType.simpleString()
+    m = profiles.groupBy(project).agg(F.ceil(F.count("*") / PROFILE_BLOCK).cast("int").alias("m"))
+    b = profiles.join(m, project).select(F.col(project).alias("project"), F.col(key).alias("k"), "words", "counts", F.pmod(F.hash(key), "m").alias("b"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("o"))
+    b = b.select("project", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "k", "words", "counts")
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        size = np.array([len(w) for w in g["words"]])
+        row, n = np.repeat(np.arange(len(g)), size), np.concatenate(list(g["counts"])).astype(np.float64)
+        norm = np.sqrt(np.bincount(row, n * n, len(g)))
+        _, col, seen = np.unique(np.concatenate(list(g["words"])), return_inverse=True, return_counts=True)
+        left, right = (np.flatnonzero(g["b"].to_numpy() == g[c].iloc[0]) for c in ("i", "j"))
+        place = np.zeros((2, len(g)), dtype=np.int64)
+        place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+        order = np.argsort(col, kind="stable")
+        order = order[seen[col[order]] > 1]  # a word of one author is part of no product
+        used, at = np.unique(col[order], return_inverse=True)
+        in_left, in_right = np.isin(row[order], left), np.isin(row[order], right)
+        dot = np.zeros((len(left), len(right)))
+        for lo in range(0, len(used), PROFILE_WORDS):
+            a, z = np.searchsorted(at, [lo, lo + PROFILE_WORDS])
+            tables = []
+            for side, (inside, rows) in enumerate(((in_left, left), (in_right, right))):
+                e = order[a:z][inside[a:z]]
+                x = np.zeros((len(rows), min(PROFILE_WORDS, len(used) - lo)), dtype=np.float32)
+                x[place[side, row[e]], at[a:z][inside[a:z]] - lo] = n[e]
+                tables.append(x)
+            dot += tables[0] @ tables[1].T
+        k = g["k"].to_numpy()
+        near = np.zeros(dot.shape, dtype=bool)
+        for lo in range(0, len(left), 256):
+            near[lo : lo + 256] = dot[lo : lo + 256] > least * np.outer(norm[left[lo : lo + 256]], norm[right])
+        x, y = np.nonzero(near)
+        p, q, cos = k[left[x]], k[right[y]], dot[x, y] / (norm[left[x]] * norm[right[y]])
+        keep = p < q if g["i"].iloc[0] == g["j"].iloc[0] else p != q
+        return pd.DataFrame({"k1": np.minimum(p, q)[keep], "k2": np.maximum(p, q)[keep], "d2vsim": cos[keep]})
+
+    return b.groupBy("project", "i", "j").applyInPandas(run, f"k1 {kind}, k2 {kind}, d2vsim double")
+
+
 def zone_hours(offset: Column) -> Column:
     """[+-]HHMM as hours; null where the text is none."""
     ok = offset.rlike(r"^[+-]\d{4}$")

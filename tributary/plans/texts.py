@@ -173,12 +173,38 @@ def merged_counts(authors: DataFrame, edges: DataFrame, most: int | None = None)
     return g.select("project", "distinct_pairs", "merged", (F.col("distinct_pairs") - F.col("merged")).alias("reduction"), "skipped")
 
 
+def merge_edges(authors: DataFrame, commits: DataFrame) -> DataFrame:
+    """(k1, k2) of the authors of a project with d2vSim > 0.8 and n > 0.5 (G5); d2vSim is the cosine of the word counts of their messages."""
+    a = authors.select("k", "project", F.trim("author_name").alias("name"), F.trim("author_email").alias("mail"))
+    c = commits.select("project", F.trim("author_name").alias("name"), F.trim("author_email").alias("mail"), "message").join(a, ["project", "name", "mail"])
+    p = similarity.word_counts(c, "k", "message").join(authors.select("k", "project"), "k")
+    names = authors.select("k", similarity.name_parts(F.col("author_name"))["n"].alias("nn"))
+    like = similarity.like_profiles(p, "project", "k", 0.8)
+    for i in ("1", "2"):
+        like = like.join(names.select(F.col("k").alias(f"k{i}"), F.col("nn").alias(f"nn{i}")), f"k{i}")
+    return similarity.winkler_columns(like, {"n": ("nn1", "nn2")}).where("n > 0.5").select("k1", "k2")
+
+
+def multi_email_groups(authors: DataFrame, edges: DataFrame) -> DataFrame:
+    """(project, first_row, names, emails, num_emails) of the groups over ``edges`` that hold more than one address with '@'."""
+    cc = components.connected_components(edges, "k1", "k2")
+    g = authors.join(cc, authors.k == cc.vertex).groupBy("project", F.col("component").alias("first_row"))
+    mail = F.when(F.contains("author_email", F.lit("@")), F.trim("author_email"))
+    g = g.agg(F.concat_ws("; ", F.array_sort(F.collect_set(F.when(F.trim("author_name") != "", F.col("author_name"))))).alias("names"), F.array_sort(F.collect_set(mail)).alias("emails"))
+    return g.withColumn("num_emails", F.size("emails")).where("num_emails > 1")
+
+
 @query()
 def g04_g05_f12_threshold_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Authors merged where a scorer passes 0.5; the scorer is the threshold proxy n > 0.8 and un > 0.5."""
+    """Authors merged where a scorer passes 0.5; the scorer is the reference's threshold proxy."""
+    a = authors(spark, d)
+    return merged_counts(a, merge_edges(a, read(spark, d, CM)))
+
+
+@query()
+def g05_multi_email_groups(spark: SparkSession, d: str) -> DataFrame:
     a = authors(spark, d)
-    p = similarity.pair_features(similarity.blocked_author_pairs(a, "project", "k", "author_name", "author_email"))
-    return merged_counts(a, p.where("n > 0.8 AND un > 0.5").select("k1", "k2"))
+    return multi_email_groups(a, merge_edges(a, read(spark, d, CM)))
 
 
 # ---- identity
