@@ -4,6 +4,7 @@ import math
 import random
 import re
 from collections import Counter
+from datetime import datetime, timedelta
 from itertools import combinations
 
 from pyspark.sql import functions as F
@@ -89,3 +90,11 @@ def test_threshold_merge_matches_brute_force(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
     groups = texts.multi_email_groups(a, edges).collect()
     assert groups and all(g["num_emails"] == len(set(g["emails"])) > 1 and all("@" in e for e in g["emails"]) for g in groups)
+
+
+def test_departures_of_events_beyond_five_weeks(spark, tmp_path):
+    start = datetime(2023, 12, 20)
+    rows = [(i, start + timedelta(days=d), u) for i, (d, u) in enumerate([(0, 1), (1, 2), (20, 3), (48, 4), (49, 5), (90, 6), (120, 7), (121, 7)])]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["user_id"] for r in exchange.stream_departures(spark, str(tmp_path)).collect()}
+    assert {1, 2, 3, 4, 5, 6} <= got

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -160,8 +161,13 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
 def stream_departures(spark: SparkSession, d: str) -> DataFrame:
     """Users idle for two days, over the events as they arrive week by week."""
     events, path = read(spark, d, "events"), scratch_path(spark, "weeks")
-    for week in range(5):
-        events.where(F.floor((F.dayofyear("ts") - 1) / 7) == week).write.mode("append").parquet(path)
+    week = F.date_trunc("week", "ts")
+    first, last = events.agg(F.min(week), F.max(week)).first()
+    while first is not None and first <= last:
+        events.where(week == F.lit(first).cast(events.schema["ts"].dataType)).write.mode("append").parquet(path)
+        first += timedelta(days=7)
+    if first is None:
+        events.write.parquet(path)
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 8).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
     s = activity.departures(stream, "ts", "user_id", 2 * 86_400_000, "1 day")
     return activity.run_to_table(s, f"departures_{uuid.uuid4().hex}", "append", scratch_path(spark, "stream"))
