@@ -9,7 +9,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from tributary.llm import leakage
+from tributary.llm import leakage, mojibake
 from tributary.operators import similarity
 from tributary.plans import exchange, texts
 
@@ -98,3 +98,17 @@ def test_departures_of_events_beyond_five_weeks(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long").write.parquet(f"{tmp_path}/events.parquet")
     got = {r["user_id"] for r in exchange.stream_departures(spark, str(tmp_path)).collect()}
     assert {1, 2, 3, 4, 5, 6} <= got
+
+
+def test_margin_is_validated_on_rows_of_all_hashes(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(mojibake, "best_origin", lambda x, model: seen.append(x) or (1.0, x))
+    monkeypatch.setattr(mojibake, "surely_clean", lambda x: True)
+    rows = [(i, f"é{i}" if i % 2 else f"e{i}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "k long, t string")
+    mojibake.validated_margin(df, ["t"], None)
+    assert set(seen) == {t for _, t in rows if not t.isascii()}
+    seen.clear()
+    monkeypatch.setattr(mojibake, "VALIDATION_ROWS", 100)
+    mojibake.validated_margin(df, ["t"], None)
+    assert 60 < len(seen) < 140
