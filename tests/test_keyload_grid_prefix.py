@@ -1,4 +1,5 @@
 import random
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
 
@@ -60,3 +61,26 @@ def test_monthly_cells_ignore_missing(spark):
     df = spark.createDataFrame([("p", 0, 1.0), ("p", 86_400_000_000, float("nan")), ("p", None, 5.0), (None, 0, 5.0)], "s string, u long, v double")
     r = grid.monthly_cells(df, "s", F.col("u"), "v").collect()
     assert [(x["source"], x["month"], x["n"], x["total"]) for x in r] == [("p", 1970 * 12, 2, 1.0)]
+
+
+def test_missing_months_are_utc_months_whatever_the_session_zone(spark):
+    rng = random.Random(4)
+    start = datetime(1969, 11, 20, tzinfo=timezone.utc)
+    rows = [(p, start + timedelta(days=rng.random() * 900)) for p in ("a", "b", "c") for _ in range(12)]
+    rows += [("edge", datetime(2019, 12, 31, 23, 59, 59, 999_999, tzinfo=timezone.utc)), ("edge", datetime(2020, 2, 1, tzinfo=timezone.utc)), ("edge", datetime(2021, 1, 1, 0, 30, tzinfo=timezone.utc))]
+    expect = set()
+    for p in {r[0] for r in rows}:
+        have = {t.year * 12 + t.month - 1 for q, t in rows if q == p}
+        expect |= {(p, f"{m // 12:04d}-{m % 12 + 1:02d}") for m in range(min(have), max(have)) if m not in have}
+    assert ("edge", "2020-01") in expect and ("edge", "2020-12") in expect and ("edge", "2021-01") not in expect
+    zero = datetime(1970, 1, 1, tzinfo=timezone.utc)
+    data = [(p, (t - zero) // timedelta(microseconds=1), 1.0) for p, t in rows]
+    try:
+        for zone in ("America/New_York", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            cells = grid.monthly_cells(spark.createDataFrame(data, "s string, u long, v double"), "s", F.col("u"), "v")
+            g = grid.regular_grid(cells).where("state <> 'observed'").select("source", grid.month_text(F.col("month")).alias("m"))
+            got = [tuple(r) for r in g.collect()]
+            assert len(got) == len(set(got)) and set(got) == expect
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
