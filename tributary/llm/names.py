@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tributary.operators.components import connected_components, star_edges
+from tributary.llm.seedtree import connected_components
+from tributary.operators.components import star_edges
 from tributary.session import materialise
 
 Q = 2  #: length of the padded q-grams

@@ -5,16 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm import leakage, mixing, mojibake, names, sentences
+from tributary.llm import leakage, mixing, mojibake, names, seedtree, sentences
+from tributary.operators import packed
 from tributary.session import materialise, read, spread
 
-COMMITS = "df_all_commits_with_stats"
+COMMITS, GROUPS = "df_all_commits_with_stats", "contributors_all_projects"
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return names.same_entity_pairs(names.link_variants(spread(read(spark, d, "name_email_pairs"))))
 
 
+def list_entries(spark: SparkSession, d: str) -> DataFrame:
+    """(record_id, entry): the comparable entries of names and emails of each contributor record."""
+    g = read(spark, d, GROUPS)
+    mails = packed.explode_packed(g.select("record_id", "emails", "num_emails"), "record_id", "emails", "num_emails")
+    persons = packed.explode_packed(g.select("record_id", "names", "num_names"), "record_id", "names", "num_names")
+    mail = F.lower(F.trim("item_value"))
+    name = F.lower(F.trim(F.regexp_replace("item_value", r"(?U)\s+", " ")))
+    m = mails.where(F.contains("item_value", F.lit("@"))).select(F.col("key").alias("record_id"), F.concat(F.lit("e:"), mail).alias("entry"))
+    n = persons.where(F.contains(name, F.lit(" "))).select(F.col("key").alias("record_id"), F.concat(F.lit("n:"), name).alias("entry"))
+    return m.unionByName(n)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    entries = materialise(list_entries(spark, d), "entries")
+    return seedtree.groups_of_shared_values(entries, "entry", "record_id").select(
+        F.col("vertex").alias("record_id"), F.col("component").alias("group_record_id")
+    )
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restore(spread(read(spark, d, COMMITS).select("row_id", "author_name", "message")), "row_id", ["author_name", "message"])
 
@@ -52,5 +72,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_units(spread(read(spark, d, "documents").select("doc_id", "text")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p6_found, p8_found, p8_paraphrases, p9_mixture, p9_shares, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p6_found, p8_found, p8_paraphrases, p9_mixture, p9_shares, p10_found)}
 SQL: dict[str, str] = {}
