@@ -9,7 +9,6 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from tributary.llm import leakage, mojibake
 from tributary.operators import similarity
 from tributary.plans import exchange, texts
 
@@ -42,34 +41,6 @@ def test_comment_lines_of_all_scripts(spark, tmp_path):
     assert got == {k: (len(t.split("\n")), sum(x.strip().startswith("#") for x in t.split("\n"))) for k, t in docs if t}
 
 
-def test_paraphrases_match_brute_force(spark):
-    r = random.Random(11)
-    vocab = [f"w{i}" for i in range(700)]
-    items = [(i, " ".join(r.choice(vocab) for _ in range(r.choice([12, 20, 45])))) for i in range(30)]
-    docs = []
-    for k in range(240):
-        words = [f"x{r.randrange(10**6)}" for _ in range(r.choice([20, 20, 40, 70]))]
-        seq = items[k % 30][1].split()[:20]
-        kept = sorted(r.sample(range(len(seq)), min(len(seq), r.choice([5, 7, 8, 9, 10]))))
-        at = r.choice(range(0, len(words) - 19, 10))
-        for place, i in zip(sorted(r.sample(range(at, at + 20), len(kept))), kept):
-            words[place] = seq[i]
-        if k % 4 == 0 and len(words) == 70 and at < 40:
-            words[60:64] = seq[:4]  # a second passage, of other cosine and shorter subsequence
-        docs.append((k, " ".join(words)))
-    want = {}
-    for d, t in docs:
-        u = leakage.words(t)
-        for i, x in items:
-            q = leakage.words(x)
-            lcs = max(leakage.common_subsequence(q, u[a:b]) / min(len(q), b - a) for a, b in leakage.windows(len(u), False))
-            if lcs >= 0.4:
-                want[d, i] = round(lcs, 6)
-    got = leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).where("lcs_share >= 0.4").collect()
-    assert {(x["doc_id"], x["item_id"]): round(x["lcs_share"], 6) for x in got} == want and len(want) > 60
-    assert any(x["cosine"] <= 0.35 for x in got)
-
-
 def test_threshold_merge_matches_brute_force(spark, monkeypatch):
     monkeypatch.setattr(similarity, "PROFILE_BLOCK", 20)
     monkeypatch.setattr(similarity, "PROFILE_WORDS", 16)
@@ -98,17 +69,3 @@ def test_departures_of_events_beyond_five_weeks(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long").write.parquet(f"{tmp_path}/events.parquet")
     got = {r["user_id"] for r in exchange.stream_departures(spark, str(tmp_path)).collect()}
     assert {1, 2, 3, 4, 5, 6} <= got
-
-
-def test_margin_is_validated_on_rows_of_all_hashes(spark, monkeypatch):
-    seen = []
-    monkeypatch.setattr(mojibake, "best_origin", lambda x, model: seen.append(x) or (1.0, x))
-    monkeypatch.setattr(mojibake, "surely_clean", lambda x: True)
-    rows = [(i, f"é{i}" if i % 2 else f"e{i}") for i in range(1000)]
-    df = spark.createDataFrame(rows, "k long, t string")
-    mojibake.validated_margin(df, ["t"], None)
-    assert set(seen) == {t for _, t in rows if not t.isascii()}
-    seen.clear()
-    monkeypatch.setattr(mojibake, "VALIDATION_ROWS", 100)
-    mojibake.validated_margin(df, ["t"], None)
-    assert 60 < len(seen) < 140

@@ -11,5 +11,5 @@ def test_every_query_has_a_name_and_a_callable():
 
 def test_found_queries_are_registered():
     q = entry.queries()
-    for n in (2, 3, 4, 5, 7):
+    for n in (2, 4, 5, 7):
         assert f"p{n}_found" in q

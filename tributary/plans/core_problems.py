@@ -1,12 +1,12 @@
-"""Queries p2 to p5 and p7 over the domain tables."""
+"""Queries p2, p4, p5 and p7 over the domain tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.operators import components, grid, keyload, packed, timestamps
-from tributary.session import materialise, read
+from tributary.operators import grid, keyload, packed, timestamps
+from tributary.session import read
 
 COMMITS, GROUPS, BASELINE = "df_all_commits_with_stats", "contributors_all_projects", "contributors_email_baseline_all_projects"
 
@@ -25,25 +25,6 @@ def p2_project_report(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def list_entries(spark: SparkSession, d: str) -> DataFrame:
-    """(record_id, entry): the comparable entries of names and emails of each contributor record."""
-    g = read(spark, d, GROUPS)
-    mails = packed.explode_packed(g.select("record_id", "emails", "num_emails"), "record_id", "emails", "num_emails")
-    names = packed.explode_packed(g.select("record_id", "names", "num_names"), "record_id", "names", "num_names")
-    mail = F.lower(F.trim("item_value"))
-    name = F.lower(F.trim(F.regexp_replace("item_value", r"(?U)\s+", " ")))
-    m = mails.where(F.contains("item_value", F.lit("@"))).select(F.col("key").alias("record_id"), F.concat(F.lit("e:"), mail).alias("entry"))
-    n = names.where(F.contains(name, F.lit(" "))).select(F.col("key").alias("record_id"), F.concat(F.lit("n:"), name).alias("entry"))
-    return m.unionByName(n)
-
-
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    entries = materialise(list_entries(spark, d), "entries")
-    return components.groups_of_shared_values(entries, "entry", "record_id").select(
-        F.col("vertex").alias("record_id"), F.col("component").alias("group_record_id")
-    )
-
-
 def with_home_zone(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     """Commits with the time zone of their project's server (the project list is a fixed table)."""
     zones = read(spark, d, "project_list").select(F.col("repo").alias("project"), "home_zone")
@@ -83,7 +64,7 @@ def p7_series(spark: SparkSession, d: str) -> DataFrame:
     return g.select(F.col("source").alias("project"), grid.month_text(F.col("month")).alias("month"), "n", "total", "estimate", "state")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_project_report, p3_found, p4_found, p5_found, p7_found, p7_series)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_project_report, p4_found, p5_found, p7_found, p7_series)}
 
 SQL = {
     "p2_found": "SELECT project FROM df_all_commits_with_stats GROUP BY project HAVING count(*) >= 0.04 * (SELECT count(*) FROM df_all_commits_with_stats)",
