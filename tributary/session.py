@@ -32,10 +32,13 @@ def build_session(cores: int | str = 8, app: str = "tributary", **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` where the cluster names it.
 
-    Only where that setting is absent (tests, local runs) a folder under /tmp is used.
+    Only where that setting is absent and the master is local (tests, local runs) a folder under /tmp is used; on a cluster
+    its absence is an error, since executors do not share their machines' folders.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = f"file:///tmp/tributary-{spark.sparkContext.applicationId}"
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(named)
