@@ -76,3 +76,19 @@ def test_one_text_holds_most_rows(spark, n):
     rows = spark.range(n).selectExpr("id", "case when id % 3 = 0 then '2020-01-01 00:00:00' else cast(1400000000 + id as string) end as raw", "'UTC' as zone")
     got = normalise_instants(rows, "raw", "zone")
     assert got.where("utc_micros is null").count() == 0 and got.select("id").distinct().count() == n
+
+
+def test_text_rare_at_first_and_hot_later(spark):
+    """The rows of the last update, not the table's first sight of a text, tell which texts are hot."""
+    d = InstantDictionary(spark)
+    d.update(spark.createDataFrame([("2020-01-01 00:00:00", "UTC"), ("n/a", "UTC")], "raw string, zone string"), "raw", "zone")
+    rows = spark.range(3000).selectExpr("id", "case when id % 3 = 0 then '2020-01-01 00:00:00' when id % 3 = 1 then null else cast(1400000000 + id as string) end as raw", "case when id % 5 = 0 then null else 'UTC' end as zone")
+    d.update(rows, "raw", "zone")
+    assert d.batch.where("__raw = '2020-01-01 00:00:00'").agg({"__rows": "sum"}).first()[0] == 1000
+    got = d.apply(rows, "raw", "zone", "u")
+    assert got.count() == 3000 and got.select("id").distinct().count() == 3000
+    by = {r["id"]: (r["raw"], r["zone"], r["u"]) for r in got.collect()}
+    for raw, zone, u in by.values():
+        want = None if raw is None or raw.startswith("2020") and zone is None else 1577836800_000_000 if raw.startswith("2020") else int(raw) * 1_000_000
+        assert u == want
+    assert d.table().select("__raw", "__zone").distinct().count() == d.table().count()

@@ -7,7 +7,8 @@ from zoneinfo import available_timezones
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.session import scratch_path
+from tributary.functions.hotjoin import HOT_PARTS
+from tributary.session import discard, materialise, scratch_path
 
 # Months by their English abbreviation.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
@@ -90,14 +91,14 @@ class InstantDictionary:
     """A table of every distinct (text, zone) and its instant, kept in a folder and only ever added to.
 
     ``update`` parses what the table does not hold yet, so a text is parsed once over the table's life;
-    ``apply`` brings the instants back to the rows. Distinct texts are gathered with map-side
-    combining, so a text that a third of all rows repeat costs one row per task; the join back is
-    keyed on (text, zone) with such texts split off (see ``join_hot``).
+    ``apply`` brings the instants back to the rows of the last update. Distinct texts are gathered with map-side
+    combining, so a text that a third of all rows repeat costs one row per task; the join back is keyed on
+    (text, zone) with the hot texts of these rows, not of the table, split off.
     """
 
     def __init__(self, spark, path: str | None = None):
         self.spark, self.path = spark, path or scratch_path(spark, "instants")
-        self.fresh = path is None
+        self.batch: DataFrame | None = None  # (__raw, __zone, __rows) of the last update
 
     def table(self) -> DataFrame:
         return self.spark.read.schema("__raw string, __zone string, __rows long, __micros long").parquet(self.path)
@@ -109,25 +110,29 @@ class InstantDictionary:
     def update(self, rows: DataFrame, raw: str, zone: str) -> None:
         keys = rows.where(F.col(raw).isNotNull()).groupBy(F.col(raw).alias("__raw"), F.coalesce(F.col(zone), F.lit("")).alias("__zone")).agg(F.count("*").alias("__rows"))
         if self.exists():
-            keys = keys.join(self.table().select("__raw", "__zone"), ["__raw", "__zone"], "left_anti")
-        parsed = parse_instants(keys, "__raw", "__zone", "__micros")
-        parsed.write.mode("append").parquet(self.path)
+            if self.batch is not None:
+                discard(self.batch)
+            self.batch = materialise(keys, "batch")
+            keys = self.batch.join(self.table().select("__raw", "__zone"), ["__raw", "__zone"], "left_anti")
+        parse_instants(keys, "__raw", "__zone", "__micros").write.mode("append").parquet(self.path)
+        if self.batch is None:  # the first update wrote all it saw
+            self.batch = self.table()
 
     def apply(self, rows: DataFrame, raw: str, zone: str, out: str) -> DataFrame:
-        """``rows`` with ``out``: the instant in microseconds, or null. Every row is kept once."""
-        d = self.table()
-        total = d.agg(F.sum("__rows")).first()[0] or 0
-        limit = max(2, total // 2000)
+        """``rows`` with ``out``: the instant in microseconds, or null. Every row is kept once; the rows are read once."""
+        d, batch = self.table(), self.batch if self.batch is not None else self.table()
+        total = batch.agg(F.sum("__rows")).first()[0] or 0
+        hot = batch.where(F.col("__rows") >= max(2, -(-total // HOT_PARTS))).select("__raw", "__zone")  # at most HOT_PARTS rows
+        hot = d.join(F.broadcast(hot), ["__raw", "__zone"]).select("__raw", "__zone", F.col("__micros").alias("__hot"), F.lit(True).alias("__is_hot"))
         k = rows.withColumn("__raw", F.col(raw)).withColumn("__zone", F.coalesce(F.col(zone), F.lit("")))
-        hot = d.where(F.col("__rows") >= limit).select("__raw", "__zone", F.col("__micros").alias("__hot"), F.lit(True).alias("__is_hot"))
-        k = k.join(F.broadcast(hot), ["__raw", "__zone"], "left")  # at most 2000 rows
-        # hot texts go to the join under a null key, each spread by its row's hash, and match nothing there
-        cold = d.where(F.col("__rows") < limit).select(F.col("__raw").alias("__r"), F.col("__zone").alias("__z"), "__micros")
-        k = k.withColumn("__r", F.when(F.col("__is_hot").isNull(), F.col("__raw")))
-        plain, rest = k.where(F.col("__r").isNotNull()), k.where(F.col("__r").isNull())
-        a = plain.join(cold.withColumnRenamed("__z", "__zone"), ["__r", "__zone"], "left").select(*rows.columns, F.col("__micros").alias(out))
-        b = rest.select(*rows.columns, F.col("__hot").alias(out))
-        return a.unionByName(b)
+        k = k.join(F.broadcast(hot), ["__raw", "__zone"], "left")
+        # rows of hot texts, and rows without a text, go through the join under keys of their own, which match nothing there
+        settled = F.col("__is_hot").isNotNull() | F.col("__raw").isNull()
+        k = k.withColumn("__raw", F.when(F.col("__raw").isNull(), "").otherwise(F.col("__raw")))
+        k = k.withColumn("__apart", F.when(settled, F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20)) + 1).otherwise(F.lit(0)))
+        cold = d.select("__raw", "__zone", F.lit(0).cast("long").alias("__apart"), "__micros")
+        k = k.join(cold, ["__raw", "__zone", "__apart"], "left")
+        return k.select(*rows.columns, F.coalesce("__hot", "__micros").alias(out))
 
 
 def normalise_instants(rows: DataFrame, raw: str, zone: str, out: str = "utc_micros", dictionary: InstantDictionary | None = None) -> DataFrame:
