@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tributary.llm.seedtree import connected_components
@@ -426,8 +426,8 @@ def star_clusters(vertices: DataFrame, edges: DataFrame, max_rounds: int = 40) -
     return vertices.select("v").join(done.withColumnRenamed("u", "v"), "v", "left").select("v", F.coalesce("center", "v").alias("center"))
 
 
-def meet(items: DataFrame, key: str, item: str) -> DataFrame:
-    """(x, y): the distinct pairs x < y of items that share a key.
+def meet(items: DataFrame, key: str, item: str, fits: Column | None = None) -> DataFrame:
+    """(x, y): the distinct pairs x < y of items that share a key and, where given, for which ``fits`` holds.
 
     Keys of one item are dropped before the join; the items of a full bucket are dealt out in parts of ``BUCKET_PART``, each of which
     meets the whole bucket in a task of its own, so no task holds all pairs of a bucket.
@@ -436,7 +436,8 @@ def meet(items: DataFrame, key: str, item: str) -> DataFrame:
     full = materialise(full.select("key", "x", F.ceil(F.col("n") / BUCKET_PART).cast("int").alias("parts")), "buckets")
     left = full.select("key", "x", F.pmod(F.hash("x"), "parts").alias("part"))
     right = full.select("key", F.col("x").alias("y"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return left.join(right, ["key", "part"]).where("x < y").select("x", "y").distinct()
+    pairs = left.join(right, ["key", "part"]).where("x < y")
+    return (pairs if fits is None else pairs.where(fits)).select("x", "y").distinct()
 
 
 def by_size(df: DataFrame, *keys: str) -> DataFrame:
@@ -550,7 +551,10 @@ def near_families(forms: DataFrame) -> DataFrame:
             yield b[pd.Series(keep, index=b.index, dtype=bool)]
 
     banded = by_size(forms, "f").mapInPandas(run, "h long, f string")
-    return by_size(meet(banded, "h", "f")).mapInPandas(check, "x string, y string")
+    # each edit changes the plain edit distance by two at most, a swap by two
+    most = F.when(F.greatest(F.length("x"), F.length("y")) > 9, 2).otherwise(1)
+    fits = (F.abs(F.length("x") - F.length("y")) <= most) & F.levenshtein("x", "y", 4).between(0, 2 * most)
+    return by_size(meet(banded, "h", "f", fits)).mapInPandas(check, "x string, y string")
 
 
 def name_links(names: DataFrame) -> DataFrame:
