@@ -45,3 +45,31 @@ def test_margin_is_validated_on_rows_of_all_hashes(spark, monkeypatch):
     monkeypatch.setattr(mojibake, "VALIDATION_ROWS", 100)
     mojibake.validated_margin(df, ["t"], None)
     assert 60 < len(seen) < 140
+
+
+def test_planted_paraphrases_are_found_and_chance_orders_are_not(spark):
+    """Items reworded by dropping, replacing and moving words, in documents that are full of the items' frequent words."""
+    r = random.Random(23)
+    common = [f"the{i}" for i in range(25)]
+    rare = [f"term{i}" for i in range(4000)]
+    sentence = lambda n: [r.choice(common) if i % 2 else r.choice(rare) for i in range(n)]
+    items = [(i, sentence(r.choice([22, 30, 44]))) for i in range(60)]
+    docs, planted = [], set()
+    for d in range(600):
+        words = [r.choice(common) if r.random() < 0.6 else r.choice(rare) for _ in range(r.randrange(30, 160))]
+        if d % 4 == 0:
+            k, seq = items[d // 4 % 60]
+            a = r.randrange(len(seq) - 18)
+            part = [r.choice(common) if r.random() < 0.2 else w for w in seq[a : a + 18] if r.random() > 0.15]
+            i = r.randrange(len(part) - 1)
+            part[i], part[i + 1] = part[i + 1], part[i]
+            at = r.randrange(len(words))
+            words[at:at] = part
+            planted.add((d, k))
+        docs.append((d, " ".join(words)))
+    got = leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(s)) for k, s in items], "item_id long, text string"))
+    rows = got.collect()
+    found = {(x["doc_id"], x["item_id"]) for x in rows if x["run_found"] or x["lcs_share"] >= leakage.SHARE and x["answer_share"] >= leakage.ANSWER}
+    loose = {(x["doc_id"], x["item_id"]) for x in rows if x["lcs_share"] >= leakage.SHARE}
+    print("recall", len(found & planted) / len(planted), "precision", len(found & planted) / len(found), "without the answer check", len(loose & planted) / len(planted), len(loose & planted) / len(loose))
+    assert len(found & planted) >= 0.9 * len(planted) and len(found & planted) >= 0.9 * len(found)

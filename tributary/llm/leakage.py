@@ -2,8 +2,9 @@
 
 Texts are cut into overlapping passages; passages become TF-IDF vectors, a randomised SVD computed over
 Spark partitions gives a latent space, and every corpus passage is compared with every item passage by
-cosine in it. Pairs above a calibrated threshold are checked for the longest common run and the item's answer
-terms. The longest common subsequence is taken of these and of all pairs that share enough words for the share asked for.
+cosine in it. Pairs above their item's calibrated threshold are checked for the longest common run. For paraphrases the longest
+common subsequence is taken of these and of all pairs that share enough words for the share asked for, and the answer check asks
+how much of the item's telling words, numbers and names among them, the passage holds.
 """
 
 from __future__ import annotations
@@ -20,11 +21,12 @@ from pyspark.sql import functions as F
 
 IDF_BUCKETS = 1 << 18  #: hashed document frequencies; bounds what driver and executors hold
 RANK = 320  #: dimensions of the latent space
-ITEM_BLOCK = 400  #: items compared at a time; bounds vocabulary, vectors and runs sent to the executors
+ITEM_PASSAGES = 4_000  #: passages of items compared at a time; bounds vocabulary, vectors and runs sent to the executors
 PASSAGE, STEP = 20, 10  #: words in a passage and between the starts of passages
 WIDE_PASSAGE, WIDE_STEP = 40, 20  #: the same in characters for texts without blanks
 RUN, WIDE_RUN = 10, 20  #: words, or characters, in a row that make a leak
 SHARE = 0.4  #: part of a passage that an item holds in the same order where it is a paraphrase
+ANSWER = 0.25  #: part of the telling words, by weight, that a paraphrase holds: SHARE of them, of which a passage covers five eighths at least
 
 _WORD = re.compile(r"[^\W_]+")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
@@ -137,7 +139,7 @@ class ItemIndex:
             need = WIDE_RUN if wide else RUN
             units = letters(t) if wide else terms
             self.runs[k] = {hash_run(units[i : i + need]) for i in range(len(units) - need + 1)}
-            self.answers[k] = {w for w in words(t) if w.isdigit()} if not wide else set(re.findall(r"\d+", t))
+            self.answers[k] = self.telling(terms, wide)
         vocabulary = sorted({w for s in self.sequence.values() for w in s})
         self.vocabulary = {w: i for i, w in enumerate(vocabulary)}
         passages, owner = [], []
@@ -162,28 +164,42 @@ class ItemIndex:
             self.holds[[self.vocabulary[w] for w in self.sequence[k]], c] = True
         self.q = np.stack([self.unit(ids) for ids in passages]).astype(np.float32)
         self.affinity = (self.v @ self.q.T).astype(np.float32)  # a word's share in the latent product with each item passage
-        self.threshold = self.calibrate()
+        self.thresholds = np.array([self.calibrate(k) for k in self.items.tolist()], dtype=np.float32)
+        self.threshold = float(self.thresholds.min())
+        self.near = dict(zip(self.items.tolist(), self.thresholds.tolist()))
         del self.v
 
+    def telling(self, terms: list[str], wide: bool) -> tuple[dict[str, float], float]:
+        """The half of the item's different terms with the greatest weights, and all its numbers; and the most of their weight a passage of it holds."""
+        weight = {w: float(self.idf[term_id(w)]) for w in terms}
+        least = float(np.median(list(weight.values()))) if weight else 0.0
+        held = {w: x for w, x in weight.items() if x >= least or w.isdigit()}
+        most = max((sum(held.get(w, 0.0) for w in set(terms[a:b])) for a, b in windows(len(terms), wide)), default=0.0)
+        return held, most
+
+    def answer_share(self, item: int, terms: list[str]) -> float:
+        held, most = self.answers[item]
+        return min(1.0, sum(held.get(w, 0.0) for w in set(terms)) / most) if most else 0.0
+
     def unit(self, ids: list[int]) -> np.ndarray:
         w = self.weight[ids]
         return (w @ self.v[ids]) / max(1e-9, float(np.sqrt((w * w).sum())))
 
-    def calibrate(self) -> float:
-        """The least cosine at which a run of the leak length still meets its item, amid other words.
+    def calibrate(self, k: int) -> float:
+        """The least cosine at which a run of the leak length of an item still meets it, amid other words.
 
         The rest of the passage is reckoned as words that occur in one document only, the heaviest there are; the
-        threshold lies a fifth below the least cosine of all runs of all items, for what such words share with them.
+        threshold lies a fifth below the least cosine of all runs of the item, for what such words share with them. An item shorter than
+        a run is reckoned whole.
         """
-        low = 1.0
-        for k, s in self.sequence.items():
-            need, size = (WIDE_RUN, WIDE_PASSAGE) if self.wide[k] else (RUN, PASSAGE)
-            near = self.affinity[:, self.owner == k]
-            for a in range(len(s) - need + 1):
-                ids = [self.vocabulary[w] for w in s[a : a + need]]
-                w = self.weight[ids]
-                norm = np.sqrt((w * w).sum() + self.filler * (size - need))
-                low = min(low, float(((w @ near[ids]) / norm).max()))
+        s = self.sequence[k]
+        need, size = (WIDE_RUN, WIDE_PASSAGE) if self.wide[k] else (RUN, PASSAGE)
+        near, low = self.affinity[:, self.owner == k], 1.0
+        for a in range(max(1, len(s) - need + 1)):
+            ids = [self.vocabulary[w] for w in s[a : a + need]]
+            w = self.weight[ids]
+            norm = np.sqrt((w * w).sum() + self.filler * (size - len(ids)))
+            low = min(low, float(((w @ near[ids]) / norm).max()))
         return max(0.01, 0.8 * low)
 
 
@@ -227,7 +243,8 @@ def longest_run(a: list[str], b: list[str]) -> int:
 def candidate_passages(text: str, index: ItemIndex, seen: dict[str, tuple[int, float]], share: float | None = None) -> Iterator[tuple[int, int, int, float, bool, list[str]]]:
     """(start, end, item, cosine, wide, terms) of the passages of a text that come near an item's passages.
 
-    With ``share`` also of those that hold so many words of an item that a common subsequence can reach that share;
+    Without ``share`` only runs are looked for, and passages in which no run of the leak length lies inside the items' vocabulary
+    are left out before anything is computed for them. With ``share`` there are also of those that hold so many words of an item that a common subsequence can reach that share;
     this loses none, since a subsequence has at most as many words.
     """
     for wide, terms in views(text):
@@ -252,7 +269,12 @@ def candidate_passages(text: str, index: ItemIndex, seen: dict[str, tuple[int, f
         norm = np.sqrt(np.maximum(square[hi] - square[lo], 1e-9))
         # the projection cannot be longer than the part of the passage inside the items' vocabulary
         near = np.sqrt(np.maximum(hit[hi] - hit[lo], 0)) >= index.threshold * norm
-        if share is not None:
+        if share is None:
+            need = WIDE_RUN - 1 if wide else RUN  # a run of letters holds one pair of letters less
+            place = np.arange(len(known))
+            inside = np.concatenate([[0], np.cumsum(place - np.maximum.accumulate(np.where(known, -1, place)) >= need)])
+            near &= inside[hi] > inside[np.minimum(lo + need - 1, hi)]
+        else:
             inside = np.concatenate([[0], np.cumsum(known)])
             near |= inside[hi] - inside[lo] >= share * np.minimum(hi - lo, index.lengths.min()) - 1e-9
         near = np.flatnonzero(near & (hit[hi] > hit[lo]))
@@ -275,7 +297,7 @@ def candidate_passages(text: str, index: ItemIndex, seen: dict[str, tuple[int, f
                     np.add.at(times, (r[ok], column[ok]), 1)
             # the nearest passage of each item; an item's passages stand side by side
             cos = np.maximum.reduceat(x @ index.affinity[columns], index.starts, axis=1) / norm[sel][:, None]
-            take = cos >= index.threshold
+            take = cos >= index.thresholds
             if share is not None:
                 take |= times @ index.holds[columns].astype(np.float32) >= share * np.minimum.outer((hi - lo)[sel], index.lengths) - 1e-3
             r, c = np.nonzero(take & (index.wide_items == wide))
@@ -287,10 +309,11 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str
     """(key, item_key, cosine, lcs_share, answer_share, run_found) of every document and item that come near.
 
     ``run_found`` says that a passage of the document holds at least ten consecutive words (twenty
-    consecutive letters or digits for items in scripts without blanks) of the item; ``lcs_share`` is the largest part of a passage, or of
-    the item where that is shorter, that stands in the item in the same order, over all passages of the document, for paraphrases: every pair that
-    reaches ``share`` has a row, and with ``share`` None it is null and not looked for. ``cosine`` and ``answer_share``, the part of the item's
-    numbers the passage holds, are those of the nearest passage, one with a run if there is any. Items are taken in blocks of ``ITEM_BLOCK``, each against all documents, every text whole. Null and
+    consecutive letters or digits for items in scripts without blanks) of the item. With ``share``, ``lcs_share`` is the largest part of a passage, or of
+    the item where that is shorter, that stands in the item in the same order, over all passages of the document: every pair that
+    reaches ``share`` has a row. ``answer_share`` is the part, by weight, of the item's telling words (the heavier half of its different words, and its
+    numbers) that the passage of the largest ``lcs_share`` holds. With ``share`` None both are null and not looked for. ``cosine`` is that
+    of the nearest passage. Items are taken in blocks of at most ``ITEM_PASSAGES`` passages, each against all documents, every text whole. Null and
     empty texts and items shorter than a run give no rows; equal items are found each for itself. The
     documents are read once for the frequencies and once per block, without a shuffle of their texts.
     """
@@ -302,14 +325,18 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str
     kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     schema = f"{key} {kind}, {item_key} {item_kind}, cosine double, lcs_share double, answer_share double, run_found boolean"
     out = None
-    block: list[tuple[int, str]] = []
     blocks: list[list[tuple[int, str]]] = []
+    room = 0
     for r in items.select(item_key, text).where(F.col(text).isNotNull()).orderBy(item_key).toLocalIterator():
-        block.append((r[0], r[1]))
-        if len(block) == ITEM_BLOCK:
-            blocks.append(block)
-            block = []
-    for block in [*blocks, block] if block else blocks:
+        wide = bool(_WIDE.search(r[1]))
+        size = sum(len(windows(len(x), wide)) for _, x in views(r[1], wide))
+        if size > room:
+            blocks.append([])
+            room = ITEM_PASSAGES
+        if size:
+            blocks[-1].append((r[0], r[1]))
+            room -= size
+    for block in [b for b in blocks if b]:
         index = ItemIndex(block, idf, filler, spark, rank)
 
         def run(batches: Iterator[pd.DataFrame], index: ItemIndex = index) -> Iterator[pd.DataFrame]:
@@ -321,26 +348,28 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str
                     passages: dict[tuple[bool, int], tuple] = {}
                     for lo, hi, item, cos, wide, terms in candidate_passages(t, index, seen, share):
                         need = WIDE_RUN if wide else RUN
-                        old, lcs = found.get((d, item)), None
-                        if share is not None:
-                            seq = index.sequence[item]
-                            lcs = common_subsequence(seq, terms[lo:hi], index.masks[item]) / max(1, min(len(seq), hi - lo))
-                            if cos < index.threshold and lcs < share:
-                                continue  # neither near nor a paraphrase
-                            if old is not None:
-                                lcs = old[1] = max(lcs, old[1])
                         if (wide, lo) not in passages:  # once for all items the passage comes near
                             units = chars[lo:hi] if wide else terms[lo:hi]
-                            hashes = {hash_run(units[i : i + need]) for i in range(len(units) - need + 1)}
-                            passages[wide, lo] = (units, hashes, set(re.findall(r"\d+", units if wide else " ".join(units))))
-                        units, hashes, numbers = passages[wide, lo]
+                            passages[wide, lo] = units, {hash_run(units[i : i + need]) for i in range(len(units) - need + 1)}
+                        units, hashes = passages[wide, lo]
                         exact = not hashes.isdisjoint(index.runs[item])
                         if exact:  # hashes may collide
                             mine = letters_of(index, item) if wide else index.sequence[item]
                             exact = longest_run(list(mine), list(units)) >= need
-                        if old is None or exact > old[3] or exact == old[3] and cos > old[0]:
-                            ans = index.answers[item]
-                            found[d, item] = [cos, lcs, len(ans & numbers) / len(ans) if ans else 0.0, exact]
+                        lcs = answer = None
+                        if share is not None:
+                            seq = index.sequence[item]
+                            lcs = common_subsequence(seq, terms[lo:hi], index.masks[item]) / max(1, min(len(seq), hi - lo))
+                            if lcs < share and not exact and cos < index.near[item]:
+                                continue  # neither near nor a paraphrase
+                            answer = index.answer_share(item, terms[lo:hi])
+                        old = found.get((d, item))
+                        if old is None:
+                            found[d, item] = [cos, lcs, answer, exact]
+                        else:
+                            if share is not None:
+                                old[1], old[2] = max((old[1], old[2]), (lcs, answer))
+                            old[0], old[3] = max(old[0], cos), old[3] or exact
                 yield pd.DataFrame([(d, i, *v) for (d, i), v in found.items()], columns=[key, item_key, "cosine", "lcs_share", "answer_share", "run_found"])
 
         part = rows.mapInPandas(run, schema)

@@ -49,7 +49,8 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_paraphrases(spark: SparkSession, d: str) -> DataFrame:
-    near = _leaks(spark, d, leakage.SHARE).where(F.col("lcs_share") >= leakage.SHARE).where("NOT run_found")
+    """Documents that hold an item in other words: the subsequence check finds them, the answer check decides."""
+    near = _leaks(spark, d, leakage.SHARE).where((F.col("lcs_share") >= leakage.SHARE) & (F.col("answer_share") >= leakage.ANSWER)).where("NOT run_found")
     return near.select("doc_id", "item_id", F.round("cosine", 3).alias("cosine"), F.round("lcs_share", 3).alias("lcs_share"), F.round("answer_share", 3).alias("answer_share"))
 
 
