@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,7 @@ STAT_BUCKETS = 1 << 16  #: counters of words before a full stop; bounds what is
 WEIGHTS = 1 << 15  #: hashed features of the model; bounds what is sent to the executors
 TRAIN_ROWS = 40_000  #: most labelled candidates the model is fitted on
 FEATURES = 12  #: features of a candidate
+KNOWN = 1 << 16  #: words whose features a Python worker keeps at hand
 LINE = 90  #: characters that a greeting or signature line, as matched below, cannot exceed
 
 # Marks, closers and quotation marks of the scripts handled.
@@ -129,6 +131,7 @@ def enclosed(text: str) -> np.ndarray:
     return depth[: len(text)]
 
 
+@lru_cache(KNOWN)
 def shape(word: str) -> str:
     """What the statistics count a word as: itself in small letters, numbers by form and length."""
     if "://" in word or "@" in word:
@@ -159,6 +162,7 @@ def context(text: str, a: int, b: int) -> tuple[str, str, str]:
 CASES = ("none", "digit", "upper", "camel", "name", "lower", "other")
 
 
+@lru_cache(KNOWN)
 def opening_case(word: str) -> str:
     """Case class of the first letter of the next word."""
     w = word.lstrip("\"'“«„‚‘([{¿¡—–- ")
@@ -179,16 +183,39 @@ def script(c: str) -> str:
     return "l" if o < 0x250 else "g" if o < 0x400 else "c" if o < 0x530 else "a" if 0x600 <= o < 0x700 else "d" if 0x900 <= o < 0x980 else "x"
 
 
-def features(w1: str, w0: str, nxt: str, mark: str) -> list[str]:
-    case, s1 = opening_case(nxt), shape(w1)
-    size = min(len(w1), 6)
+@lru_cache(KNOWN)
+def word_features(w1: str, case: str, kind: str) -> tuple[list[int], str]:
+    """Buckets of the features of the word before a mark with the case behind it, and what pairs of words count it as."""
+    s1, size = shape(w1), min(len(w1), 6)
     single = len(w1) == 1 and w1.isalpha()
     dotted = "." in w1 and not any(c.isdigit() for c in w1) and len(w1) < 7
-    follow = nxt.strip(INNER + ".").lower()
-    return [
+    f = [
         "1", f"w={s1}", f"c={case}", f"w={s1}|c={case}", f"len={size}", f"one={single}", f"dot={dotted}|{case}", f"cap={w1[:1].isupper()}|{size}",
-        f"mark={'e' if mark[0] == '…' or len(mark) > 1 else 'p'}|{case}", f"0={shape(w0)}|{s1 if s1[:1] == '<' else size}", f"n={follow}", f"scr={script(w1[-1:])}|{case}|{single}",
+        f"mark={kind}|{case}", f"scr={script(w1[-1:])}|{case}|{single}",
     ]
+    return [bucket(x, WEIGHTS) for x in f], s1 if s1[:1] == "<" else str(size)
+
+
+@lru_cache(KNOWN)
+def pair_feature(w0: str, w1: str) -> int:
+    return bucket(f"0={shape(w0)}|{w1}", WEIGHTS)
+
+
+@lru_cache(KNOWN)
+def next_feature(nxt: str) -> int:
+    return bucket("n=" + nxt.strip(INNER + ".").lower(), WEIGHTS)
+
+
+def features(w1: str, w0: str, nxt: str, mark: str) -> list[int]:
+    """Buckets of the ``FEATURES`` features of a mark: those of the word before it, of the two words before it and of the word behind it.
+
+    ``BEHIND`` are the places of those that tell what follows, and nothing else.
+    """
+    f, s = word_features(w1, opening_case(nxt), "e" if mark[0] == "…" or len(mark) > 1 else "p")
+    return [*f, pair_feature(w0, s), next_feature(nxt)]
+
+
+BEHIND = (2, 11)
 
 
 def candidates(block: str) -> Iterator[tuple[int, int, int, str]]:
@@ -264,7 +291,7 @@ def scan_text(text: str) -> tuple[int, list[int], list[int], list[int], list[int
                         cuts[cut] = None
                 elif cut not in cuts:
                     w1, w0, nxt = context(block, a, cut)
-                    cuts[cut] = bucket(shape(w1), STAT_BUCKETS), -1 if last else CASES.index(opening_case(nxt)), [bucket(f, WEIGHTS) for f in features(w1, w0, nxt, mark)]
+                    cuts[cut] = bucket(shape(w1), STAT_BUCKETS), -1 if last else CASES.index(opening_case(nxt)), features(w1, w0, nxt, mark)
             if THAI.search(block):
                 cuts.update((m.start(), None) for m in THAI_BLANK.finditer(block))
         for cut in sorted(cuts):
@@ -364,7 +391,7 @@ def train(scanned: DataFrame, rounds: int = 150, l2: float = 1e-5) -> np.ndarray
     if sample.empty:
         return np.zeros(WEIGHTS)
     x = np.frombuffer(b"".join(sample["x"]), dtype=np.uint16).reshape(-1, FEATURES).astype(np.int64)
-    for c in (2, 10):  # what follows tells nothing where a block ends
+    for c in BEHIND:  # what follows tells nothing where a block ends
         x[sample["end"].to_numpy(), c] = WEIGHTS
     y, w, g2 = sample["y"].to_numpy(float), np.zeros(WEIGHTS + 1), np.full(WEIGHTS + 1, 1e-8)
     for _ in range(rounds):
