@@ -35,7 +35,7 @@ def test_paraphrases_match_brute_force(spark):
 
 def test_margin_is_validated_on_rows_of_all_hashes(spark, monkeypatch):
     seen = []
-    monkeypatch.setattr(mojibake, "best_origin", lambda x, model: seen.append(x) or (1.0, x))
+    monkeypatch.setattr(mojibake, "best_origin", lambda x, model: seen.append(x) or (1.0, x, "cp1252<utf-8"))
     monkeypatch.setattr(mojibake, "surely_clean", lambda x: True)
     rows = [(i, f"é{i}" if i % 2 else f"e{i}") for i in range(1000)]
     df = spark.createDataFrame(rows, "k long, t string")
