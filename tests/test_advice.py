@@ -37,7 +37,7 @@ def test_skipped_projects_say_so(spark):
 def test_comment_lines_of_all_scripts(spark, tmp_path):
     docs = [(1, "# a\nb"), (2, "# é\n\u3000# 漢字\nх = 1\n\u00a0#"), (3, "“quoted”"), (4, ""), (5, None), (6, "\t#x\r\n##\n")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: (r["lines"], r["comment_lines"]) for r in exchange.x14_y01_s18_comment_lines(spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: (r["lines"], r["comment_lines"]) for r in exchange.x14_comment_lines(spark, str(tmp_path)).collect()}
     assert got == {k: (len(t.split("\n")), sum(x.strip().startswith("#") for x in t.split("\n"))) for k, t in docs if t}
 
 

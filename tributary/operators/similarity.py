@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 
 def jaro(a: str, b: str) -> float:
-    """Jaro similarity; two empty texts are equal (1), one empty text is like nothing (0)."""
+    """Jaro similarity; two empty texts are equal (1), one empty text is like nothing (0). An odd number of letters out of place counts as one less."""
     if a == b:
         return 1.0
     if not a or not b:
@@ -30,7 +30,7 @@ def jaro(a: str, b: str) -> float:
         return 0.0
     other = [c for c, u in zip(b, used) if u]
     m = len(matched)
-    swaps = sum(x != y for x, y in zip(matched, other)) / 2
+    swaps = sum(x != y for x, y in zip(matched, other)) // 2
     return (m / len(a) + m / len(b) + (m - swaps) / m) / 3
 
 
@@ -92,6 +92,22 @@ def local_part(email: Column) -> Column:
     return F.substring_index(F.lower(F.trim(email)), "@", 1)
 
 
+def camel_words(text: Column) -> Column:
+    """The words of a text in small letters, parted at signs, underscores and dashes and before capitals."""
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}]+", " ")
+    return F.filter(F.transform(F.split(F.regexp_replace(plain, "([A-Z])", " $1"), " "), lambda x: F.lower(x)), lambda x: x != "")
+
+
+def model_parts(name: Column, email: Column) -> dict[str, Column]:
+    """Parts of a name as the scoring model takes them: ln and fn at blanks, ln1 and fn1 also at ``_ + - , .`` and inside camel case, un before '@'."""
+    n = F.trim(name)
+    n1 = F.regexp_replace(n, "([a-z])([A-Z])", "$1 $2")
+    return {
+        "ln": F.regexp_replace(n, r"^.* ", ""), "fn": F.regexp_replace(n, r" .*$", ""), "n1": n1,
+        "ln1": F.regexp_replace(n1, r"^.*[ _+\-,.]", ""), "fn1": F.regexp_replace(n1, r"[ _+\-,.].*$", ""), "un": F.regexp_replace(F.lower(F.trim(email)), "@.*$", ""),
+    }
+
+
 #: Rows of a block that meet in one task: larger blocks are split into parts of this size on one side of the join.
 BLOCK_PART = 200
 
@@ -124,17 +140,49 @@ def blocked_author_pairs(authors: DataFrame, project: str, key: str, name: str,
 
 
 def pair_features(pairs: DataFrame) -> DataFrame:
-    """Features n, e, ln, fn, un, ifn, ln1, fn1 of author pairs: Jaro-Winkler of names, addresses and their parts, equality of last and first names."""
+    """Features n, e, ln, fn, un, ifn, ln1, fn1 of author pairs: Jaro-Winkler of names, addresses and their parts; two absent addresses are unlike.
+
+    ifn is the better of first against last name either way, ln1 and fn1 compare the parts split into words.
+    """
     out = pairs
+    words = lambda c: F.array_join(F.filter(F.split(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "), " "), lambda x: x != ""), " ")
     for i in ("1", "2"):
         p = name_parts(F.col(f"n{i}"))
         out = out.withColumns({f"nn{i}": p["n"], f"fn_{i}": p["fn"], f"ln_{i}": p["ln"], f"un_{i}": local_part(F.col(f"e{i}")), f"ee{i}": F.lower(F.trim(f"e{i}"))})
+        out = out.withColumns({f"fw_{i}": words(F.col(f"fn_{i}")), f"lw_{i}": words(F.col(f"ln_{i}"))})
     out = winkler_columns(out, {
-        "n": ("nn1", "nn2"), "e": ("ee1", "ee2"), "ln": ("ln_1", "ln_2"), "fn": ("fn_1", "fn_2"), "un": ("un_1", "un_2"), "x1": ("fn_1", "ln_2"), "x2": ("ln_1", "fn_2"),
+        "n": ("nn1", "nn2"), "e0": ("ee1", "ee2"), "ln": ("ln_1", "ln_2"), "fn": ("fn_1", "fn_2"), "un": ("un_1", "un_2"), "x1": ("fn_1", "ln_2"), "x2": ("ln_1", "fn_2"), "ln1": ("lw_1", "lw_2"), "fn1": ("fw_1", "fw_2"),
     })
-    return out.select(
-        "project", "k1", "k2", "n", "e", "ln", "fn", "un", F.greatest("x1", "x2").alias("ifn"), (F.col("ln_1") == F.col("ln_2")).cast("double").alias("ln1"), (F.col("fn_1") == F.col("fn_2")).cast("double").alias("fn1")
-    )
+    e = F.when((F.col("ee1") != "") & (F.col("ee2") != ""), F.col("e0")).otherwise(0.0)
+    return out.select("project", "k1", "k2", "n", e.alias("e"), "ln", "fn", "un", F.greatest("x1", "x2").alias("ifn"), "ln1", "fn1")
+
+
+def rarity_features(pairs: DataFrame, names: DataFrame, name: str) -> DataFrame:
+    """``pairs`` with ln1f and fnf, one over how many of ``names`` have the last and the first token of the first author's name."""
+    p = name_parts(F.col(name))
+    known = names.select(p["n"].alias("n"), p["fn"].alias("fn"), p["ln"].alias("ln")).distinct()
+    mine = name_parts(F.col("n1"))
+    out = pairs.withColumns({"__f": mine["fn"], "__l": mine["ln"]})
+    for c, k, to in (("fn", "__f", "fnf"), ("ln", "__l", "ln1f")):
+        count = known.groupBy(F.col(c).alias(k)).agg((1 / F.count("*")).alias(to))
+        out = out.join(count, k, "left").withColumn(to, F.coalesce(to, F.lit(1.0)))
+    return out.drop("__f", "__l")
+
+
+def message_similarity(pairs: DataFrame, profiles: DataFrame, key: str) -> DataFrame:
+    """``pairs`` (k1, k2) with d2vsim, the cosine of the word counts of two authors' messages; 0 where either has none.
+
+    Counts meet by pair and word, and only of words both have; the norms are one number a profile.
+    """
+    words = profiles.select(F.col(key).alias("k"), F.explode(F.arrays_zip("words", "counts")).alias("x")).select("k", F.col("x.words").alias("w"), F.col("x.counts").cast("double").alias("c"))
+    norm = words.groupBy("k").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
+    two = pairs.select("k1", "k2").distinct()
+    one = two.join(words.select(F.col("k").alias("k1"), "w", F.col("c").alias("c1")), "k1")
+    dot = one.join(words.select(F.col("k").alias("k2"), "w", F.col("c").alias("c2")), ["k2", "w"]).groupBy("k1", "k2").agg(F.sum(F.col("c1") * F.col("c2")).alias("dot"))
+    for i in ("1", "2"):
+        dot = dot.join(norm.select(F.col("k").alias(f"k{i}"), F.col("norm").alias(f"norm{i}")), f"k{i}")
+    dot = dot.select("k1", "k2", (F.col("dot") / (F.col("norm1") * F.col("norm2"))).alias("d2vsim"))
+    return pairs.join(dot, ["k1", "k2"], "left").withColumn("d2vsim", F.coalesce("d2vsim", F.lit(0.0)))
 
 
 PROFILE_BLOCK, PROFILE_WORDS = 4000, 4096  #: authors and words whose counts a task holds as one dense table

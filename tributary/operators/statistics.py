@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tributary.functions.prefix import prefix_sum
+
 # ---- tails
 
 
@@ -84,13 +86,13 @@ def t_tail(t: float, df: float) -> float:
 def average_ranks(df: DataFrame, value: str, within: list[str], out: str) -> DataFrame:
     """``df`` with average ranks of ``value`` within groups; null and NaN values get none.
 
-    Ranks are taken over the counts of distinct values, so ties are ranked once and equal values never meet
-    in one task because they are equal.
+    Ranks are taken over the counts of distinct values, so ties are ranked once; running counts come from a range sort
+    (``prefix_sum``), so the distinct values of a group spread over many tasks.
     """
     some = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     freq = some.groupBy(*within, value).agg(F.count("*").alias("__k"))
-    w = Window.partitionBy(*within).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = freq.withColumn(out, F.coalesce(F.sum("__k").over(w), F.lit(0)) + (F.col("__k") + 1) / 2).drop("__k")
+    ranks = prefix_sum(freq, within, [value], "__k", "__upto")
+    ranks = ranks.withColumn(out, F.col("__upto") - F.col("__k") + (F.col("__k") + 1) / 2).drop("__k", "__upto")
     return df.join(ranks, [*within, value], "left")
 
 
@@ -138,22 +140,28 @@ def _ranked(df: DataFrame, group: str, value: str) -> DataFrame:
     return average_ranks(df.select(group, value, F.lit(0).alias("__all")), value, ["__all"], "__r")
 
 
-def mann_whitney(df: DataFrame, group: str, value: str, a: str, b: str, continuity: bool = True) -> DataFrame:
-    """(u1, n1, n2, z, p_value, r) of two groups: two-sided with tie correction; effect size r = |z| / sqrt(n1 + n2)."""
+def effect(r: float) -> str:
+    """Size of an effect: small below 0.3, large from 0.5."""
+    return "small" if r < 0.3 else "medium" if r < 0.5 else "large"
+
+
+def mann_whitney(df: DataFrame, group: str, value: str, a: str, b: str, continuity: bool = True, tied: bool = True) -> DataFrame:
+    """(u1, n1, n2, z, p_value, r, effect) of two groups, two-sided; effect size r = |z| / sqrt(n1 + n2). With ``continuity`` half a unit is
+    taken off, with ``tied`` the variance is corrected for ties."""
     some = df.where(F.col(group).isin(a, b) & F.col(value).isNotNull())
     r = _ranked(some, group, value).groupBy(group).agg(F.sum("__r").alias("rs"), F.count("*").alias("n")).collect()
     ties = some.groupBy(value).agg(F.count("*").alias("k")).agg(F.sum(F.col("k").cast("double") ** 3 - F.col("k"))).first()[0] or 0.0
     by = {x[0]: x for x in r}
-    schema = "u1 double, n1 long, n2 long, z double, p_value double, r double"
+    schema = "u1 double, n1 long, n2 long, z double, p_value double, r double, effect string"
     if a not in by or b not in by:
         return df.sparkSession.createDataFrame([], schema)
     n1, n2 = by[a]["n"], by[b]["n"]
     n = n1 + n2
     u = by[a]["rs"] - n1 * (n1 + 1) / 2
-    var = n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1)))
+    var = n1 * n2 / 12 * (n + 1 - (ties / (n * (n - 1)) if tied else 0.0))
     gap = abs(u - n1 * n2 / 2)
     z = max(0.0, gap - 0.5 * continuity) / math.sqrt(var) if var > 0 else 0.0
-    return df.sparkSession.createDataFrame([(u, n1, n2, z, min(1.0, normal_tail(z)), z / math.sqrt(n))], schema)
+    return df.sparkSession.createDataFrame([(u, n1, n2, z, min(1.0, normal_tail(z)), z / math.sqrt(n), effect(z / math.sqrt(n)))], schema)
 
 
 def wilcoxon(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -216,13 +224,29 @@ def scott_knott(df: DataFrame, group: str, value: str, alpha: float = 0.05) -> D
     return df.sparkSession.createDataFrame([(r[0], r["s"] / r["n"], r["n"], out[r[0]]) for r in rows], f"{group} {kind}, mean double, n long, cluster int")
 
 
-def inflation_factors(corr: np.ndarray, ridge: float = 1e-6) -> np.ndarray:
-    """Variance inflation factors, the diagonal of the inverse of a small correlation matrix; missing cells count as 0."""
+def inflation_factors(corr: np.ndarray, ridge: float = 1e-6, least: float = 1e-12) -> np.ndarray:
+    """Variance inflation factors, the diagonal of the inverse of a small correlation matrix; missing cells count as 0.
+
+    Gauss-Jordan elimination with the largest entry of a column as its pivot; where that is next to zero, ``ridge`` is put on the diagonal, and
+    where it stays so the matrix is singular.
+    """
     m = np.nan_to_num(np.array(corr, dtype=float), nan=0.0)
+    n = len(m)
     np.fill_diagonal(m, 1.0)
-    if np.linalg.cond(m) > 1e12:
-        m = m + ridge * np.eye(len(m))
-    return np.diag(np.linalg.inv(m))
+    work = np.hstack([m, np.eye(n)])
+    for c in range(n):
+        for again in (False, True):
+            best = c + int(np.argmax(np.abs(work[c:, c])))
+            if abs(work[best, c]) >= least:
+                break
+            if again:
+                raise ValueError("singular even with a ridge")
+            work[np.arange(n), np.arange(n)] += ridge
+        work[[c, best]] = work[[best, c]]
+        work[c] /= work[c, c]
+        rest = np.arange(n) != c
+        work[rest] -= np.outer(work[rest, c], work[c])
+    return np.diag(work[:, n:])
 
 
 def average_linkage(distance: np.ndarray, cut: float) -> list[int]:

@@ -1,4 +1,4 @@
-"""Statistics, lifecycle, series and cluster operators of the survey (T, L, C, G6-G9, A31, S-stage ops)."""
+"""Correlations, joining and leaving, and series of the survey."""
 
 from __future__ import annotations
 
@@ -11,7 +11,6 @@ from tributary.session import materialise, read
 from tributary.sources.views import METRICS, Registry, commits, contributor_file, part_metrics
 
 query = Registry()
-PAIR_LIST = [(a, b) for i, a in enumerate(sorted(METRICS)) for b in sorted(METRICS)[i + 1 :]]
 
 
 def long_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -29,10 +28,33 @@ def spearman(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(SPEARMAN_SQL)
-def t01_t02_w02_spearman(spark: SparkSession, d: str) -> DataFrame:
+def t01_w02_spearman(spark: SparkSession, d: str) -> DataFrame:
     return spearman(spark, d)
 
 
+def wide_sql(columns: str) -> str:
+    """Average ranks of the metrics of {M} joined to those of orders, by project and metric."""
+    return f"""(SELECT project, metric, rank() OVER (PARTITION BY metric ORDER BY value) + (count(*) OVER (PARTITION BY metric, value) - 1) / 2.0 AS r FROM (SELECT * FROM (SELECT m.project, {columns}, o.price, o.urgent FROM {{M}} m
+      LEFT JOIN (SELECT l_suppkey AS project, sum(o_totalprice) AS price, count(*) FILTER (o_orderpriority = '1-URGENT')::DOUBLE AS urgent FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1) o ON o.project = m.project) UNPIVOT (value FOR metric IN ({columns}, price, urgent))))"""
+
+
+WIDE = "commits, authors, code_chars"
+
+
+@query(f"SELECT a.metric AS metric_a, b.metric AS metric_b, count(*) AS n, round(corr(a.r, b.r), 6) AS rho FROM {wide_sql(WIDE)} a JOIN {wide_sql(WIDE)} b ON a.project = b.project AND a.metric < b.metric GROUP BY 1, 2")
+def t02_spearman_of_joined_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of two sources joined by project; a column without data takes no part."""
+    o = read(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    j = read(spark, d, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("project")).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    more = j.groupBy("project").agg(F.sum("o_totalprice").alias("price"), F.count_if(F.col("o_orderpriority") == "1-URGENT").cast("double").alias("urgent"))
+    m = part_metrics(spark, d).select("project", "commits", "authors", "code_chars").join(more, "project", "left").withColumn("blank", F.lit(None).cast("double"))
+    m = materialise(m, "joined")
+    names = [c for c in m.columns if c != "project"]
+    filled = m.agg(*[F.count(c).alias(c) for c in names]).first()
+    long = m.unpivot(["project"], [c for c in names if filled[c]], "metric", "value").where("value IS NOT NULL")
+    return statistics.spearman_matrix(long, "project", "metric", "value").select("metric_a", "metric_b", "n", F.round("rho", 6).alias("rho"))
+
+
 @query("""WITH b AS (SELECT project, commits AS x, code_chars AS y FROM {M} WHERE commits IS NOT NULL AND code_chars IS NOT NULL), r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS a, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS c FROM b)
     SELECT count(*) AS n, round(corr(a, c), 6) AS rho FROM r""")
 def t03_spearman_pairwise(spark: SparkSession, d: str) -> DataFrame:
@@ -63,13 +85,6 @@ def t04_inflation(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(n, float(v)) for n, v in zip(names, statistics.inflation_factors(m))], "metric string, vif double")
 
 
-@query(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT metric_a AS a, metric_b AS b FROM ({SPEARMAN_SQL}) WHERE abs(rho) >= 0.7), s AS (FROM e UNION SELECT b, a FROM e), r(v, c) AS (SELECT a, a FROM s UNION SELECT s.b, r.c FROM r JOIN s ON s.a = r.v)
-    SELECT v AS metric, min(c) AS cluster FROM r GROUP BY v""")
-def g07_g09_metric_clusters(spark: SparkSession, d: str) -> DataFrame:
-    e = spearman(spark, d).where(F.abs("rho") >= 0.7)
-    return components.connected_components(e, "metric_a", "metric_b").select(F.col("vertex").alias("metric"), F.col("component").alias("cluster"))
-
-
 @query()
 def g08_average_linkage(spark: SparkSession, d: str) -> DataFrame:
     names, m = matrix(spark, d)
@@ -77,29 +92,6 @@ def g08_average_linkage(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(list(zip(names, labels)), "metric string, cluster int")
 
 
-KW = """WITH v AS (SELECT category AS g, {X} AS x FROM {M}), r AS (SELECT g, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS r, x FROM v), s AS (SELECT g, sum(r) AS rs, count(*) AS n FROM r GROUP BY g),
-    t AS (SELECT sum(k * k * k - k)::DOUBLE AS ties FROM (SELECT count(*)::DOUBLE AS k FROM v GROUP BY x)), n AS (SELECT sum(n)::DOUBLE AS n FROM s) """
-
-
-@query(KW.replace("{X}", "commits") + "SELECT round((12 / (n.n * (n.n + 1)) * (SELECT sum(rs * rs / n) FROM s) - 3 * (n.n + 1)) / (1 - ties / (n.n * n.n * n.n - n.n)), 6) AS h, n.n::BIGINT AS n FROM n, t")
-def t05_t06_t07_kruskal(spark: SparkSession, d: str) -> DataFrame:
-    return statistics.kruskal_wallis(part_metrics(spark, d), "category", "commits").select(F.round("h", 6).alias("h"), "n")
-
-
-@query(KW.replace("{X}", "additions") + """SELECT round(rs - n1 * (n1 + 1) / 2, 6) AS u1, n1::BIGINT AS n1, n2::BIGINT AS n2, round(greatest(0, abs(rs - n1 * (n1 + 1) / 2 - n1 * n2 / 2) - 0.5) / sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))), 6) AS z
-    FROM (SELECT (SELECT rs FROM s WHERE g = 'OSS') AS rs, (SELECT n::DOUBLE FROM s WHERE g = 'OSS') AS n1, (SELECT n::DOUBLE FROM s WHERE g = 'OSS4SG') AS n2), t""")
-def t08_t09_t12_mann_whitney(spark: SparkSession, d: str) -> DataFrame:
-    m = statistics.mann_whitney(part_metrics(spark, d), "category", "additions", "OSS", "OSS4SG")
-    return m.select(F.round("u1", 6).alias("u1"), "n1", "n2", F.round("z", 6).alias("z"))
-
-
-@query("""WITH q AS (SELECT category, year(ts) * 4 + quarter(ts) AS q, avg(churn) AS m FROM {C} GROUP BY 1, 2), d AS (SELECT a.m - b.m AS d FROM q a JOIN q b ON a.q = b.q AND a.category = 'OSS' AND b.category = 'OSS4SG'),
-    r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS r FROM d WHERE d <> 0) SELECT least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0)) AS w, (SELECT count(*) FROM d) AS n FROM r""")
-def t10_wilcoxon(spark: SparkSession, d: str) -> DataFrame:
-    q = commits(spark, d).groupBy((F.year("ts") * 4 + F.quarter("ts")).alias("q")).pivot("category", ["OSS", "OSS4SG"]).agg(F.avg("churn"))
-    return statistics.wilcoxon(q, "OSS", "OSS4SG").select("w", "n")
-
-
 @query("""WITH s AS (SELECT category, count(*)::DOUBLE AS n, avg(mean_churn) AS m, var_samp(mean_churn) AS v FROM {M} GROUP BY 1), a AS (FROM s WHERE category = 'OSS'), b AS (FROM s WHERE category = 'OSS4SG')
     SELECT round((a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2) * (1 / a.n + 1 / b.n)), 5) AS t, (a.n + b.n - 2)::BIGINT AS df FROM a, b""")
 def t11_t_test(spark: SparkSession, d: str) -> DataFrame:
@@ -107,21 +99,11 @@ def t11_t_test(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query()
-def t13_t14_scott_knott(spark: SparkSession, d: str) -> DataFrame:
+def t14_scott_knott(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents").where("source IS NOT NULL").select("source", F.log1p("n_chars").alias("size"))
     return statistics.scott_knott(docs, "source", "size")
 
 
-@query("""WITH g AS (SELECT source, avg(n_chars) AS m FROM documents WHERE source IS NOT NULL GROUP BY 1), s AS (SELECT stddev_samp(n_chars) AS sd FROM documents WHERE source IS NOT NULL)
-    SELECT source, round(m, 6) AS mean, (1 + sum(CASE WHEN p - m > 0.05 * sd THEN 1 ELSE 0 END) OVER (ORDER BY m DESC))::BIGINT AS cluster FROM (SELECT source, m, lag(m) OVER (ORDER BY m DESC) AS p FROM g), s""")
-def t15_w09_gap_clusters(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents").where("source IS NOT NULL")
-    g, sd = docs.groupBy("source").agg(F.avg("n_chars").alias("m")), docs.agg(F.stddev_samp("n_chars"))
-    w = Window.orderBy(F.desc("m"))  # one row per source
-    g = g.withColumn("sd", sd.scalar()).withColumn("p", F.lag("m").over(w))
-    return g.select("source", F.round("m", 6).alias("mean"), (1 + F.sum(F.when(F.col("p") - F.col("m") > 0.05 * F.col("sd"), 1).otherwise(0)).over(w)).alias("cluster"))
-
-
 # ---- joining and leaving
 
 
@@ -145,17 +127,17 @@ def l01_k07_join_leave(spark: SparkSession, d: str) -> DataFrame:
     return r.select("project", "category", F.round("avg_join_rate", 6).alias("avg_join_rate"), F.round("avg_leave_rate", 6).alias("avg_leave_rate"), F.format_string("%.4f", "avg_join_rate").alias("join_text"))
 
 
-@query("""WITH c AS (SELECT project, author, year(first_ts) * 12 + month(first_ts) AS a, year(last_ts) * 12 + month(last_ts) AS z FROM {CF}), sp AS (SELECT project, min(a) AS lo, max(z) AS hi FROM c GROUP BY 1),
-    w AS (SELECT project, unnest(generate_series(lo + 2, hi)) AS w FROM sp), n AS (SELECT w.project, w.w, count(*)::DOUBLE AS act, count(*) FILTER (c.a BETWEEN w.w - 2 AND w.w) AS j, count(*) FILTER (c.z BETWEEN w.w - 2 AND w.w AND c.z < sp.hi - 5) AS l
+@query("""WITH c AS (SELECT project, author, year(first_ts) * 12 + month(first_ts) AS a, year(last_ts) * 12 + month(last_ts) AS z, last_ts FROM {CF}), sp AS (SELECT project, min(a) AS lo, max(z) AS hi, max(last_ts) AS newest FROM c GROUP BY 1),
+    w AS (SELECT project, unnest(generate_series(lo + 2, hi)) AS w FROM sp), n AS (SELECT w.project, w.w, count(*)::DOUBLE AS act, count(*) FILTER (c.a BETWEEN w.w - 2 AND w.w) AS j, count(*) FILTER (c.z BETWEEN w.w - 2 AND w.w AND c.last_ts < sp.newest - INTERVAL 150 DAY) AS l
       FROM w JOIN sp USING (project) JOIN c ON c.project = w.project AND c.a <= w.w AND c.z >= w.w - 2 GROUP BY 1, 2) SELECT project, round(avg(j / act), 6) AS join_rate, round(avg(l / act), 6) AS leave_rate, count(*) AS windows FROM n GROUP BY project""")
 def l02_rates_from_first_and_last(spark: SparkSession, d: str) -> DataFrame:
-    """Join and leave rates from first and last dates with a five-month buffer; activity as counts of starts and ends, no range join."""
+    """Join and leave rates from first and last dates with a buffer of 150 days before the project's newest date; activity as counts of starts and ends, no range join."""
     m = lambda c: F.year(c) * 12 + F.month(c)
-    c = contributor_file(spark, d).select("project", m("first_ts").alias("a"), m("last_ts").alias("z"))
-    span = c.groupBy("project").agg(F.min("a").alias("lo"), F.max("z").alias("hi"))
+    c = contributor_file(spark, d).select("project", m("first_ts").alias("a"), m("last_ts").alias("z"), "last_ts")
+    span = c.groupBy("project").agg(F.min("a").alias("lo"), F.max("z").alias("hi"), F.max("last_ts").alias("newest"))
     ev = c.join(span, "project").select("project", "lo", "hi", F.explode(F.array(
         F.struct(F.col("a").alias("m"), F.lit(1).alias("start"), F.lit(0).alias("end"), F.lit(0).alias("gone")),
-        F.struct(F.col("z").alias("m"), F.lit(0).alias("start"), F.lit(1).alias("end"), F.when(F.col("z") < F.col("hi") - 5, 1).otherwise(0).alias("gone")),
+        F.struct(F.col("z").alias("m"), F.lit(0).alias("start"), F.lit(1).alias("end"), F.when(F.col("last_ts") < F.col("newest") - F.expr("INTERVAL 150 DAYS"), 1).otherwise(0).alias("gone")),
     )).alias("e"))
     per = ev.groupBy("project", F.col("e.m").alias("m")).agg(F.sum("e.start").alias("s"), F.sum("e.end").alias("e"), F.sum("e.gone").alias("g"))
     axis = span.select("project", F.explode(F.sequence("lo", "hi")).alias("m"), "lo")
@@ -167,57 +149,6 @@ def l02_rates_from_first_and_last(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("project").agg(F.round(F.avg(F.col("j") / F.col("act")), 6).alias("join_rate"), F.round(F.avg(F.col("l") / F.col("act")), 6).alias("leave_rate"), F.count("*").alias("windows"))
 
 
-@query("""WITH c AS (SELECT project, category, epoch(first_ts) AS a, epoch(last_ts) AS z FROM {CF}), sp AS (SELECT project, min(a) AS lo, max(z) AS hi FROM c GROUP BY 1), e AS (SELECT c.*, lo, floor((a - lo) / 7884000)::BIGINT AS wa, floor((z - lo) / 7884000)::BIGINT AS wz, floor((hi - lo) / 7884000)::BIGINT AS k FROM c JOIN sp USING (project)),
-    x AS (SELECT project, category, k, w, w = wa AS j, w = wz AS l FROM (SELECT *, unnest(generate_series(wa, wz)) AS w FROM e) WHERE w < k) SELECT category, w, round(avg(j / n), 6) AS join_rate, round(avg(l / n), 6) AS leave_rate, count(*) AS repos FROM
-    (SELECT project, category, w, count(*)::DOUBLE AS n, count(*) FILTER (j) AS j, count(*) FILTER (l) AS l FROM x GROUP BY 1, 2, 3) GROUP BY 1, 2""")
-def l03_l09_l11_a31_tumbling_windows(spark: SparkSession, d: str) -> DataFrame:
-    """Rates in tumbling windows of 91.25 days from each project's start, averaged over projects by window and category."""
-    s = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
-    c = contributor_file(spark, d).select("project", "category", s("first_ts").alias("a"), s("last_ts").alias("z"))
-    span = c.groupBy("project").agg(F.min("a").alias("lo"), F.max("z").alias("hi"))
-    n = lambda x: F.floor((x - F.col("lo")) / 7884000)
-    e = c.join(span, "project").select("project", "category", n(F.col("a")).alias("wa"), n(F.col("z")).alias("wz"), n(F.col("hi")).alias("k"))
-    x = e.select("project", "category", "k", "wa", "wz", F.explode(F.sequence("wa", "wz")).alias("w")).where("w < k")
-    g = x.groupBy("project", "category", "w").agg(F.count("*").alias("n"), F.count_if(F.col("w") == F.col("wa")).alias("j"), F.count_if(F.col("w") == F.col("wz")).alias("l"))
-    return g.groupBy("category", "w").agg(F.round(F.avg(F.col("j") / F.col("n")), 6).alias("join_rate"), F.round(F.avg(F.col("l") / F.col("n")), 6).alias("leave_rate"), F.count("*").alias("repos"))
-
-
-@query("""WITH s AS (SELECT project, floor((epoch(max(ts)) - epoch(min(ts))) / 86400) AS days FROM {C} GROUP BY project), r AS (SELECT *, row_number() OVER (ORDER BY days, project) - 1 AS i, count(*) OVER () AS n FROM s),
-    q AS (SELECT project, days, least(i // (n // 4), 3)::BIGINT + 1 AS grp FROM r) SELECT grp, count(*) AS n, min(days)::BIGINT AS lo, max(days)::BIGINT AS hi, round((max(days) / 365 + coalesce(lead(min(days)) OVER (ORDER BY grp), max(days)) / 365) / 2, 3) AS bound FROM q GROUP BY grp""")
-def l04_l05_l06_l07_lifespan_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Four groups of projects by lifespan, the remainder in the last, with the midpoints between groups in years."""
-    g = commits(spark, d).groupBy("project").agg(F.floor((F.unix_timestamp(F.max("ts").cast("timestamp")) - F.unix_timestamp(F.min("ts").cast("timestamp"))) / 86400).alias("days"))
-    r = g.withColumn("i", F.row_number().over(Window.orderBy("days", "project")) - 1).withColumn("n", g.agg(F.count("*")).scalar())  # one row per project
-    q = r.withColumn("grp", (F.least(F.floor(F.col("i") / F.floor(F.col("n") / 4)), F.lit(3)) + 1).cast("long"))
-    q = q.groupBy("grp").agg(F.count("*").alias("n"), F.min("days").alias("lo"), F.max("days").alias("hi"))
-    nxt = F.coalesce(F.lead("lo").over(Window.orderBy("grp")), F.col("hi"))
-    return q.select("grp", "n", "lo", "hi", F.round((F.col("hi") / 365 + nxt / 365) / 2, 3).alias("bound"))
-
-
-@query("""WITH s AS (SELECT project, count(DISTINCT date_trunc('quarter', ts)) AS early_n FROM {C} WHERE ts < TIMESTAMP '1997-01-01' GROUP BY 1), m AS (SELECT project, count(DISTINCT date_trunc('quarter', ts)) AS mid_n FROM {C} WHERE ts >= TIMESTAMP '1997-01-01' AND ts < TIMESTAMP '1999-01-01' GROUP BY 1)
-    SELECT project, 'early' AS stage, 0::BIGINT AS shift, early_n AS windows FROM s JOIN m USING (project) UNION ALL SELECT project, 'middle', early_n, mid_n FROM s JOIN m USING (project)""")
-def l08_combined_stages(spark: SparkSession, d: str) -> DataFrame:
-    """Stages laid end to end: each stage's windows are shifted by those before it; projects that miss a stage are left out."""
-    c = commits(spark, d).where("ts < TIMESTAMP_NTZ '1999-01-01'").withColumn("stage", F.when(F.expr("ts < TIMESTAMP_NTZ '1997-01-01'"), "early").otherwise("middle"))
-    g = c.groupBy("project", "stage").agg(F.countDistinct(F.trunc("ts", "quarter")).alias("windows"))
-    w = Window.partitionBy("project").orderBy("stage")
-    g = g.withColumn("shift", F.coalesce(F.sum("windows").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("k", F.count("*").over(Window.partitionBy("project")))
-    return g.where("k = 2").select("project", "stage", "shift", "windows")
-
-
-@query(RATES_SQL.replace("{F}", "true") + """, x AS (SELECT r.*, category FROM rates r JOIN (SELECT DISTINCT project, category FROM {C}) USING (project)), m AS (SELECT median(avg_join_rate) AS mj, median(avg_leave_rate) AS ml FROM x),
-    q AS (SELECT category, CASE WHEN avg_leave_rate < ml AND avg_join_rate >= mj THEN 'Attractive' WHEN avg_leave_rate < ml THEN 'Stable' WHEN avg_join_rate >= mj THEN 'Unstable' ELSE 'Unattractive' END AS quadrant FROM x, m)
-    SELECT category, quadrant, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY category), 6) AS pct FROM q GROUP BY 1, 2""")
-def t16_t18_t19_t20_quadrants(spark: SparkSession, d: str) -> DataFrame:
-    cat = commits(spark, d).select("project", "category").distinct()
-    r = materialise(rates(spark, d).join(cat, "project"), "rates")
-    r = r.withColumns({"mj": r.agg(F.median("avg_join_rate")).scalar(), "ml": r.agg(F.median("avg_leave_rate")).scalar()})
-    j, lv = F.col("avg_join_rate") >= F.col("mj"), F.col("avg_leave_rate") < F.col("ml")
-    quadrant = F.when(lv & j, "Attractive").when(lv, "Stable").when(j, "Unstable").otherwise("Unattractive")
-    q = r.groupBy("category", quadrant.alias("quadrant")).agg(F.count("*").alias("n"))
-    return q.withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("category")), 6))
-
-
 @query("""WITH p AS (SELECT s_suppkey, (s_acctbal - (SELECT min(s_acctbal) FROM supplier)) / ((SELECT max(s_acctbal) FROM supplier) - (SELECT min(s_acctbal) FROM supplier)) AS x, (s_suppkey % 101) / 101.0 AS y FROM supplier), g AS (SELECT i, j FROM generate_series(0, 20) a(i), generate_series(0, 20) b(j)),
     k AS (SELECT i, j, sum(exp(-((x - i / 20.0) ** 2 + (y - j / 20.0) ** 2) / (2 * 0.01))) / (2 * pi() * 0.01 * count(*)) AS density FROM p, g GROUP BY 1, 2) SELECT i, j, round(CASE WHEN density < 0.05 * (SELECT max(density) FROM k) THEN 0 ELSE density END, 5) AS density FROM k""")
 def t17_density_grid(spark: SparkSession, d: str) -> DataFrame:
@@ -250,37 +181,24 @@ def stage_series(spark: SparkSession, d: str) -> DataFrame:
     return series.core_ratio_series(c, "project", "stage", "ts", "churn", "is_core")
 
 
-@query()
-def c02_r07_interpolated_series(spark: SparkSession, d: str) -> DataFrame:
-    s = series.interpolate_to_longest(stage_series(spark, d), "values")
-    return s.select("project", "stage", F.transform("values", lambda x: F.round(x, 6)).alias("values"))
+STAGED_SQL = """WITH l AS (SELECT project, min(ts) AS a, floor((epoch(max(ts)) - epoch(min(ts))) / 86400) / 365.0 AS y FROM {C} GROUP BY 1 HAVING y >= 3), st AS (SELECT * FROM (SELECT c.project, ts, churn, is_core, CASE WHEN ts < a + INTERVAL 3 YEAR THEN 'early'
+    WHEN y >= 5 AND ts < a + INTERVAL 5 YEAR THEN 'middle' WHEN y >= 6 AND ts >= a + INTERVAL 5 YEAR AND ts < a + INTERVAL 6 YEAR THEN 'late' END AS stage FROM {C} c JOIN l USING (project)) WHERE stage IS NOT NULL),
+    mo AS (SELECT project, stage, date_trunc('month', ts) AS m, sum(CASE WHEN is_core THEN churn ELSE 0.0 END) / sum(churn) AS r FROM st GROUP BY 1, 2, 3 HAVING sum(churn) <> 0 AND r <> 0),
+    se AS (SELECT project, stage, list(r ORDER BY m) AS v, count(*) AS n FROM mo GROUP BY 1, 2 HAVING count(*) > 1), lo AS (SELECT max(n) AS k FROM se) """
 
 
-@query()
-def c03_c04_c06_c07_c08_c10_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """k-means of the early series after scaling each position, with named patterns, medoids and silhouettes."""
-    s = series.interpolate_to_longest(stage_series(spark, d).where("stage = 'early'"), "values")
-    return series.cluster_series(series.scale_positions(s, "values"), "project", "values", 4)
-
-
-@query()
-def c05_silhouette_by_cluster(spark: SparkSession, d: str) -> DataFrame:
-    s = series.interpolate_to_longest(stage_series(spark, d).where("stage = 'early'"), "values")
-    k = series.cluster_series(series.scale_positions(s, "values"), "project", "values", 4)
-    return k.groupBy("cluster", "pattern").agg(F.count("*").alias("n"), F.round(F.avg("silhouette"), 6).alias("silhouette"))
+@query(STAGED_SQL + """SELECT project, stage, list_transform(range(k), lambda i: round(v[least(floor(i * (n - 1) / greatest(k - 1, 1))::BIGINT, n - 2) + 1] + (v[least(floor(i * (n - 1) / greatest(k - 1, 1))::BIGINT, n - 2) + 2] - v[least(floor(i * (n - 1) / greatest(k - 1, 1))::BIGINT, n - 2) + 1])
+    * (i * (n - 1) / greatest(k - 1, 1) - least(floor(i * (n - 1) / greatest(k - 1, 1))::BIGINT, n - 2)), 5)) AS values FROM se, lo""")
+def c02_r07_interpolated_series(spark: SparkSession, d: str) -> DataFrame:
+    s = series.interpolate_to_longest(stage_series(spark, d), "values")
+    return s.select("project", "stage", F.transform("values", lambda x: F.round(x, 5)).alias("values"))
 
 
-@query()
-def c09_compare_assignments(spark: SparkSession, d: str) -> DataFrame:
-    """Clusters of the early series under two ways of scaling, aligned by label order and compared per project."""
-    s = materialise(series.interpolate_to_longest(stage_series(spark, d).where("stage = 'early'"), "values"), "series")
-    a = series.cluster_series(series.scale_positions(s, "values"), "project", "values", 3).select("project", F.col("cluster").alias("a"))
-    b = series.cluster_series(s, "project", "values", 3).select("project", F.col("cluster").alias("b"))
-    j = a.join(b, "project", "full").select("project", F.coalesce("a", F.lit(-1)).alias("a"), F.coalesce("b", F.lit(-1)).alias("b"))
-    return j.withColumn("same", F.col("a") == F.col("b"))
+SMOOTH = [float(x) for x in series.smoothing_weights(31, 2)]
 
 
-@query()
+@query(f"""WITH c AS (SELECT least(dayofyear(ts), 365)::INT AS day, count(*)::DOUBLE AS n FROM {{C}} GROUP BY 1), a AS (SELECT g AS day, coalesce(n, 0) AS n FROM range(1, 366) t(g) LEFT JOIN c ON c.day = g), w AS (SELECT unnest({SMOOTH}) AS w, unnest(range(-15, 16)) AS o)
+    SELECT ((a.day - o - 1 + 365) % 365 + 1)::INT AS day, round(sum(n * w), 6) AS smooth FROM a, w GROUP BY 1""")
 def w08_savitzky_golay(spark: SparkSession, d: str) -> DataFrame:
     """Daily commit counts over the year, smoothed by circular quadratic fits of 31 days."""
     c = commits(spark, d).groupBy(F.least(F.dayofyear("ts"), F.lit(365)).alias("day")).agg(F.count("*").cast("double").alias("n"))
@@ -306,13 +224,4 @@ def l10_attached_means(spark: SparkSession, d: str) -> DataFrame:
     return c.select("project", "category").distinct().join(F.broadcast(m), "category").select("project", "category", "mean_active")
 
 
-@query("""WITH m AS (SELECT project, category, commits, additions FROM {M}), s AS (SELECT metric, category, value FROM m UNPIVOT (value FOR metric IN (commits, additions))), c AS (SELECT metric, avg(value) AS m, stddev_samp(value) AS sd FROM s GROUP BY 1)
-    SELECT metric, count(*) FILTER (abs(value - m) <= sd) AS within, count(*) AS n FROM s JOIN c USING (metric) GROUP BY metric""")
-def g10_within_one_deviation(spark: SparkSession, d: str) -> DataFrame:
-    s = part_metrics(spark, d).unpivot(["category"], ["commits", "additions"], "metric", "value")
-    c = s.groupBy("metric").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("sd"))
-    return s.join(F.broadcast(c), "metric").groupBy("metric").agg(F.count_if(F.abs(F.col("value") - F.col("m")) <= F.col("sd")).alias("within"), F.count("*").alias("n"))
-
-
 QUERIES, SQL = query.queries, query.sql
-assert PAIR_LIST

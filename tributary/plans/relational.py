@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tributary.functions.hotjoin import join_hot_left
+from tributary.functions.prefix import prefix_sum
 from tributary.session import read
-from tributary.sources.views import METRICS, Registry, commits, contributor_file, pairs, part_metrics, stripped
+from tributary.sources.views import Registry, commits, contributor_file, pairs, part_metrics, stripped
 
 query = Registry()
-AS_OF = "2024-01-01"
+AS_OF = "1999-06-01"
 CM = "df_all_commits_with_stats"
 
 
@@ -53,17 +55,18 @@ def p13_identity_key(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "name_email_pairs").select("row_id", F.coalesce(F.nullif(key, F.lit("")), F.lit("?")).alias("identity"), F.coalesce(F.upper("category"), F.lit("OSS")).alias("category"))
 
 
-@query("""WITH s AS (SELECT project, count(*) AS commits, count(DISTINCT author) AS authors, max(ts) AS last_ts, (epoch(max(ts)) - epoch(min(ts))) / 86400 AS days FROM {C} GROUP BY project),
-    t AS (SELECT CASE WHEN NOT last_ts > TIMESTAMP '2024-01-01' - INTERVAL 365 DAY * 30 THEN '1 inactive' WHEN authors < 10 THEN '2 few contributors' WHEN commits < 500 THEN '3 few commits'
-    WHEN days < 365 THEN '5 short' ELSE '6 selected' END AS step FROM s) SELECT step, count(*) AS projects FROM t GROUP BY step""")
+@query("""WITH s AS (SELECT project, count(*) AS commits, count(DISTINCT author) AS authors, max(ts) AS last_ts, sum(deletions) AS closed, (epoch(max(ts)) - epoch(min(ts))) / 86400 AS days FROM {C} GROUP BY project),
+    t AS (SELECT CASE WHEN NOT last_ts > TIMESTAMP '1999-06-01' - INTERVAL 365 DAY THEN '1 inactive' WHEN authors < 10 THEN '2 few contributors' WHEN commits < 500 THEN '3 few commits'
+    WHEN closed < 1800 THEN '4 few closed requests' WHEN days < 365 THEN '5 short' ELSE '6 selected' END AS step FROM s) SELECT step, count(*) AS projects FROM t GROUP BY step""")
 def p14_p15_selection_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """How many projects fail at each step, the first that fails counting; deletions stand in for closed requests, with a bound of their size."""
     s = commits(spark, d).groupBy("project").agg(
-        F.count("*").alias("commits"), F.countDistinct("author").alias("authors"), F.max("ts").alias("last_ts"),
+        F.count("*").alias("commits"), F.countDistinct("author").alias("authors"), F.max("ts").alias("last_ts"), F.sum("deletions").alias("closed"),
         ((F.unix_timestamp(F.max("ts").cast("timestamp")) - F.unix_timestamp(F.min("ts").cast("timestamp"))) / 86400).alias("days"),
     )
-    active = F.col("last_ts") > F.expr(f"TIMESTAMP_NTZ '{AS_OF}' - INTERVAL {365 * 30} DAYS")
-    step = F.when(~active, "1 inactive").when(F.col("authors") < 10, "2 few contributors").when(F.col("commits") < 500, "3 few commits").when(F.col("days") < 365, "5 short").otherwise("6 selected")
-    return s.groupBy(step.alias("step")).agg(F.count("*").alias("projects"))
+    active = F.col("last_ts") > F.expr(f"TIMESTAMP_NTZ '{AS_OF}' - INTERVAL 365 DAYS")
+    step = F.when(~active, "1 inactive").when(F.col("authors") < 10, "2 few contributors").when(F.col("commits") < 500, "3 few commits").when(F.col("closed") < 1800, "4 few closed requests")
+    return s.groupBy(step.when(F.col("days") < 365, "5 short").otherwise("6 selected").alias("step")).agg(F.count("*").alias("projects"))
 
 
 @query("SELECT project, contributions AS n, author FROM {CF} WHERE contributions BETWEEN 2 AND 5 AND project NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)")
@@ -114,10 +117,10 @@ def p27_p28_per_code_character(spark: SparkSession, d: str) -> DataFrame:
     return m.select("project", F.round(F.when(cc > 0, F.col("commits") / cc), 6).alias("commits_per_char"), F.round(F.when(cc > 0, total / cc), 6).alias("changes_per_char"), total.alias("total"))
 
 
-@query()
+@query("SELECT category, repo FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY md5(repo || '|7'), repo) AS i FROM project_list) WHERE i <= 5")
 def p29_stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     """Five projects per category by a keyed hash, the same on every run."""
-    w = Window.partitionBy("category").orderBy(F.xxhash64("repo", F.lit(7)), "repo")
+    w = Window.partitionBy("category").orderBy(F.md5(F.concat("repo", F.lit("|7"))), "repo")
     return read(spark, d, "project_list").withColumn("i", F.row_number().over(w)).where("i <= 5").select("category", "repo")
 
 
@@ -207,8 +210,10 @@ def j06_j07_a08_category_upgrade(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT row_id, coalesce(canon, contributor) AS contributor FROM df_all_commits_with_stats c LEFT JOIN (SELECT author_email AS e, min(author_name) AS canon FROM name_email_pairs WHERE author_email LIKE '%@%' AND author_name <> '' GROUP BY 1) m ON m.e = c.author_email")
 def j08_j09_j14_key_rewrite(spark: SparkSession, d: str) -> DataFrame:
+    """A few addresses, placeholders among them, hold many commits: they are split off (``join_hot_left``)."""
     m = read(spark, d, "name_email_pairs").where("author_email LIKE '%@%' AND author_name <> ''").groupBy("author_email").agg(F.min("author_name").alias("canon"))
-    return read(spark, d, CM).select("row_id", "contributor", "author_email").join(m, "author_email", "left").select("row_id", F.coalesce("canon", "contributor").alias("contributor"))
+    c = read(spark, d, CM).select("row_id", "contributor", "author_email")
+    return join_hot_left(c, m, "author_email").select("row_id", F.coalesce("canon", "contributor").alias("contributor"))
 
 
 @query("""WITH w AS (SELECT unnest(generate_series(TIMESTAMP '1992-01-01', TIMESTAMP '1998-12-01', INTERVAL 3 MONTH)) AS w)
@@ -354,22 +359,29 @@ def a19_a20_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH n AS (SELECT project, count(*) AS n FROM {CF} GROUP BY 1), r AS (SELECT n, row_number() OVER (ORDER BY n) - 1 AS i, count(*) OVER () AS k FROM n)
-    SELECT (n // 20)::BIGINT AS bin, count(*) AS projects, (SELECT min(n) FROM n) AS least, (SELECT max(n) FROM n) AS most, (SELECT n FROM r WHERE i = k // 2) AS upper_median FROM n GROUP BY 1""")
+    SELECT (n // 20)::BIGINT AS bin, count(*) AS projects, (SELECT min(n) FROM n) AS least, (SELECT max(n) FROM n) AS most, (SELECT n FROM r WHERE i = k // 2) AS upper_median, (SELECT round(avg(n), 6) FROM n) AS mean, (SELECT round(stddev_samp(n), 6) FROM n) AS std FROM n GROUP BY 1""")
 def a21_r06_histogram(spark: SparkSession, d: str) -> DataFrame:
     n = contributor_file(spark, d).groupBy("project").agg(F.count("*").alias("n"))
     # the upper median from counts per value: as many rows as values
     freq = n.groupBy("n").agg(F.count("*").alias("k")).withColumn("upto", F.sum("k").over(Window.orderBy("n"))).withColumn("all", F.sum("k").over(Window.partitionBy()))
     median = freq.agg(F.min(F.when(F.col("upto") > F.floor(F.col("all") / 2), F.col("n"))))
     bins = n.groupBy(F.floor(F.col("n") / 20).alias("bin")).agg(F.count("*").alias("projects"))
-    return bins.withColumns({"least": freq.agg(F.min("n")).scalar(), "most": freq.agg(F.max("n")).scalar(), "upper_median": median.scalar()})
+    return bins.withColumns({"least": freq.agg(F.min("n")).scalar(), "most": freq.agg(F.max("n")).scalar(), "upper_median": median.scalar(), "mean": n.agg(F.round(F.avg("n"), 6)).scalar(), "std": n.agg(F.round(F.stddev_samp("n"), 6)).scalar()})
 
 
 @query("SELECT round(avg(least(authentic, 500) / least(total, 500)), 6) AS mean_share, round(avg(one_time / total), 6) AS mean_one_time FROM (SELECT project, count(*) FILTER (contributions > 1)::DOUBLE AS authentic, count(*) FILTER (contributions = 1)::DOUBLE AS one_time, count(*)::DOUBLE AS total FROM {CF} GROUP BY project)")
-def a22_a32_mean_of_ratios(spark: SparkSession, d: str) -> DataFrame:
+def a22_mean_of_ratios(spark: SparkSession, d: str) -> DataFrame:
     g = contributor_file(spark, d).groupBy("project").agg(F.count_if(F.col("contributions") > 1).alias("authentic"), F.count_if(F.col("contributions") == 1).alias("one_time"), F.count("*").alias("total"))
     return g.agg(F.round(F.avg(F.least("authentic", F.lit(500)) / F.least("total", F.lit(500))), 6).alias("mean_share"), F.round(F.avg(F.col("one_time") / F.col("total")), 6).alias("mean_one_time"))
 
 
+@query("SELECT category, count(*) AS projects, sum(total)::BIGINT AS total, round(avg(total), 6) AS mean_total, sum(one_time)::BIGINT AS one_time, round(avg(one_time), 6) AS mean_one_time FROM (SELECT project, category, count(*) AS total, count(*) FILTER (contributions = 1) AS one_time FROM {CF} GROUP BY 1, 2) GROUP BY 1")
+def a32_totals_by_category(spark: SparkSession, d: str) -> DataFrame:
+    """Contributors and one-time contributors of the projects of each category, in all and on average."""
+    g = contributor_file(spark, d).groupBy("project", "category").agg(F.count("*").alias("total"), F.count_if(F.col("contributions") == 1).alias("one_time"))
+    return g.groupBy("category").agg(F.count("*").alias("projects"), *[x for c in ("total", "one_time") for x in (F.sum(c).alias(c), F.round(F.avg(c), 6).alias(f"mean_{c}"))])
+
+
 @query(f"SELECT method, floor(log10(n) * 4)::BIGINT AS bin, count(*) AS projects, sum(n)::BIGINT AS contributors FROM {METHODS_SQL} GROUP BY 1, 2")
 def a23_log_histogram(spark: SparkSession, d: str) -> DataFrame:
     return method_counts(spark, d).groupBy("method", F.floor(F.log10("n") * 4).alias("bin")).agg(F.count("*").alias("projects"), F.sum("n").alias("contributors"))
@@ -418,8 +430,9 @@ def a36_cube(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT project, record_id, printf('g%06d', row_number() OVER (PARTITION BY project ORDER BY num_pairs_merged DESC NULLS LAST, record_id)) AS gid FROM contributors_all_projects")
 def w01_stable_ids(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("project").orderBy(F.desc_nulls_last("num_pairs_merged"), "record_id")
-    return read(spark, d, "contributors_all_projects").select("project", "record_id", F.format_string("g%06d", F.row_number().over(w)).alias("gid"))
+    """Ranks come from a range sort, so a project with a third of all records spreads over many tasks."""
+    g = read(spark, d, "contributors_all_projects").select("project", "record_id", F.col("num_pairs_merged").isNull().alias("none"), (-F.col("num_pairs_merged")).alias("down"), F.lit(1).alias("one"))
+    return prefix_sum(g, ["project"], ["none", "down", "record_id"], "one", "i").select("project", "record_id", F.format_string("g%06d", "i").alias("gid"))
 
 
 @query("""WITH d AS (SELECT category, ts::DATE AS day, count(*)::DOUBLE AS n FROM {C} GROUP BY 1, 2) SELECT category, day, round(avg(n) OVER (PARTITION BY category ORDER BY day ROWS 13 PRECEDING), 6) AS rolling,
@@ -456,23 +469,41 @@ def w06_d08_lifetime(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"SELECT project, abs(n_a - n_b) AS gap FROM (SELECT project, coalesce(sum(n) FILTER (method = 'email'), 0)::BIGINT AS n_a, coalesce(sum(n) FILTER (method = 'merged'), 0)::BIGINT AS n_b FROM {METHODS_SQL} GROUP BY 1) ORDER BY gap DESC, project LIMIT 10")
-def o01_o03_o05_top_gaps(spark: SparkSession, d: str) -> DataFrame:
+def o01_o03_top_gaps(spark: SparkSession, d: str) -> DataFrame:
     m = method_counts(spark, d).groupBy("project").pivot("method", ["email", "merged"]).agg(F.sum("n"))
     gap = F.abs(F.coalesce("email", F.lit(0)) - F.coalesce("merged", F.lit(0)))
     return m.select("project", gap.alias("gap")).orderBy(F.desc("gap"), "project").limit(10)
 
 
+@query(f"SELECT arg_max(project, (gap, project)) AS project, max(gap) AS gap FROM (SELECT project, abs(coalesce(sum(n) FILTER (method = 'email'), 0) - coalesce(sum(n) FILTER (method = 'merged'), 0))::BIGINT AS gap FROM {METHODS_SQL} GROUP BY 1)")
+def o05_widest_gap(spark: SparkSession, d: str) -> DataFrame:
+    m = method_counts(spark, d).groupBy("project").pivot("method", ["email", "merged"]).agg(F.sum("n"))
+    gap = F.abs(F.coalesce("email", F.lit(0)) - F.coalesce("merged", F.lit(0)))
+    return m.select("project", gap.alias("gap")).agg(F.max_by("project", F.struct("gap", "project")).alias("project"), F.max("gap").alias("gap"))
+
+
 @query("SELECT record_id, project, num_emails FROM contributors_all_projects WHERE num_emails IS NOT NULL ORDER BY num_emails DESC, lower(project), record_id")
 def o02_o07_mixed_order(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "contributors_all_projects").where("num_emails IS NOT NULL").orderBy(F.desc("num_emails"), F.lower("project"), "record_id").select("record_id", "project", "num_emails")
 
 
 @query("SELECT 'merged' AS origin, project, names FROM contributors_all_projects UNION ALL SELECT 'email', project, names FROM contributors_email_baseline_all_projects")
-def u01_u08_labelled_union(spark: SparkSession, d: str) -> DataFrame:
+def u01_labelled_union(spark: SparkSession, d: str) -> DataFrame:
     a = read(spark, d, "contributors_all_projects").select(F.lit("merged").alias("origin"), "project", "names")
     return a.unionByName(read(spark, d, "contributors_email_baseline_all_projects").select(F.lit("email").alias("origin"), "project", "names"))
 
 
+@query("""WITH u AS (SELECT 1 AS o, 'early' AS stage, project, n FROM (SELECT project, count(*) AS n FROM {C} WHERE ts < TIMESTAMP '1994-01-01' GROUP BY 1) UNION ALL SELECT 2, 'middle', project, n FROM (SELECT project, count(*) AS n FROM {C} WHERE ts >= TIMESTAMP '1994-01-01' AND ts < TIMESTAMP '1996-01-01' GROUP BY 1)
+    UNION ALL SELECT 3, 'late', project, n FROM (SELECT project, count(*) AS n FROM {C} WHERE ts >= TIMESTAMP '1996-01-01' GROUP BY 1)) SELECT row_number() OVER (ORDER BY o, project) - 1 AS place, stage, project, n FROM u""")
+def u08_stacked_stages(spark: SparkSession, d: str) -> DataFrame:
+    """The columns of three stages below one another, with a running number."""
+    c = commits(spark, d)
+    o = F.when(F.expr("ts < TIMESTAMP_NTZ '1994-01-01'"), 1).when(F.expr("ts < TIMESTAMP_NTZ '1996-01-01'"), 2).otherwise(3)
+    g = c.groupBy(o.alias("o"), "project").agg(F.count("*").alias("n")).withColumns({"one": F.lit(1), "all": F.lit(0)})
+    stage = F.element_at(F.array(F.lit("early"), F.lit("middle"), F.lit("late")), F.col("o"))
+    return prefix_sum(g, ["all"], ["o", "project"], "one", "i").select((F.col("i") - 1).alias("place"), stage.alias("stage"), "project", "n")
+
+
 @query("SELECT DISTINCT project, category, author_name, author_email FROM {P}")
 def u02_u03_distinct(spark: SparkSession, d: str) -> DataFrame:
     return pairs(spark, d).select("project", "category", "author_name", "author_email").dropDuplicates(["project", "category", "author_name", "author_email"])
@@ -493,4 +524,3 @@ def u07_union_with_precedence(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES, SQL = query.queries, query.sql
-assert METRICS

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tributary.functions.hotjoin import join_hot
+from tributary.functions.prefix import prefix_sum
 from tributary.operators import components, similarity
 from tributary.session import materialise, read
-from tributary.sources.views import Registry, commits, pairs, stripped
+from tributary.sources.views import Registry, commits, pairs
 
 query = Registry()
 CM = "df_all_commits_with_stats"
@@ -27,9 +28,24 @@ def x03_x11_name_parts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(r"""SELECT row_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(author_name, '[^\p{L}\p{N}]+', ' ', 'g'), '([A-Z])', ' \1', 'g'), ' '), lambda x: lower(x)), lambda x: x <> '') AS words, regexp_replace(t, '^.* ', '') AS ln, regexp_replace(t, ' .*$', '') AS fn,
+    n1, regexp_replace(n1, '^.*[ _+\-,.]', '') AS ln1, regexp_replace(n1, '[ _+\-,.].*$', '') AS fn1, regexp_replace(lower(trim(author_email, ' ')), '@.*$', '') AS un FROM (SELECT *, trim(author_name, ' ') AS t, regexp_replace(trim(author_name, ' '), '([a-z])([A-Z])', '\1 \2', 'g') AS n1 FROM {P})""")
+def x05_x06_name_words(spark: SparkSession, d: str) -> DataFrame:
+    p, m = pairs(spark, d), similarity.model_parts(F.col("author_name"), F.col("author_email"))
+    return p.select("row_id", similarity.camel_words(F.col("author_name")).alias("words"), *[m[c].alias(c) for c in ("ln", "fn", "n1", "ln1", "fn1", "un")])
+
+
+@query("SELECT project, list_sort(list(DISTINCT contributor)) AS people, array_to_string(list_sort(list(DISTINCT contributor)), '; ') AS people_text, len(list(DISTINCT contributor)) AS n FROM df_all_commits_with_stats WHERE contributor IS NOT NULL AND NOT contains(contributor, ';') GROUP BY project")
+def x11_list_and_text(spark: SparkSession, d: str) -> DataFrame:
+    """Lists written as text without brackets, and the text read as a list again."""
+    c = read(spark, d, CM).where("contributor IS NOT NULL AND NOT contains(contributor, ';')").select("project", "contributor").distinct()
+    t = c.groupBy("project").agg(F.array_join(F.array_sort(F.collect_list("contributor")), "; ").alias("people_text"))
+    return t.select("project", F.split("people_text", "; ").alias("people"), "people_text", F.size(F.split("people_text", "; ")).cast("long").alias("n"))
+
+
 @query(r"""SELECT row_id, commit_date, coalesce(nullif(regexp_extract(trim(commit_date), '([+-]\d{4}|\w+)$', 1), ''), '?') AS zone, CASE WHEN regexp_matches(z, '^[+-]\d{4}$') THEN (CASE WHEN z[1] = '-' THEN -1 ELSE 1 END) * (z[2:3]::INT + z[4:5]::INT / 60.0) END::DOUBLE AS hours, substring(commit_date, 1, 7) AS local_month
     FROM (SELECT *, regexp_extract(trim(commit_date), '([+-]\d{4})$', 1) AS z FROM df_all_commits_with_stats WHERE commit_date IS NOT NULL)""")
-def x12_d02_d10_zone_suffix(spark: SparkSession, d: str) -> DataFrame:
+def x12_d02_zone_suffix(spark: SparkSession, d: str) -> DataFrame:
     c = read(spark, d, CM).where("commit_date IS NOT NULL")
     z = F.regexp_extract(F.trim("commit_date"), r"([+-]\d{4})$", 1)
     zone = F.coalesce(F.nullif(F.regexp_extract(F.trim("commit_date"), r"([+-]\d{4}|\w+)$", 1), F.lit("")), F.lit("?"))
@@ -50,11 +66,20 @@ def x13_numstat_line(spark: SparkSession, d: str) -> DataFrame:
     return c.select("row_id", F.concat_ws(" ", F.col("insertions").cast("string"), F.col("deletions").cast("string"), F.col("p")[2]).alias("line"), (F.coalesce(add, F.lit(0)) + F.coalesce(rem, F.lit(0))).alias("changed"), add.isNull().alias("is_binary"))
 
 
-@query()
+def winkler_sql(a: str, b: str) -> str:
+    """SQL of the similarity of two texts. DuckDB compares bytes, so the letters beyond ASCII are first numbered among themselves, which keeps equal letters equal."""
+    odd = f"list_distinct(list_filter(string_split({a} || {b}, ''), lambda c: ord(c) > 127))"
+    code = lambda x: f"array_to_string(list_transform(string_split({x}, ''), lambda c: CASE WHEN ord(c) > 127 THEN chr(list_position({odd}, c)::INT) ELSE c END), '')"
+    prefix = "CASE " + " ".join(f"WHEN left({a}, {n}) <> left({b}, {n}) THEN {n - 1}" for n in range(1, 5)) + " ELSE 4 END"
+    j = f"jaro_similarity({code(a)}, {code(b)})"
+    return f"(CASE WHEN {a} = {b} THEN 1.0 WHEN {a} = '' OR {b} = '' THEN 0.0 ELSE {j} + 0.1 * ({prefix}) * (1 - {j}) END)"
+
+
+@query(f"SELECT name_norm, un, round({winkler_sql('name_norm', 'un')}, 9) AS similarity FROM (SELECT DISTINCT name_norm, lower(split_part(trim(author_email), '@', 1)) AS un FROM {{P}})")
 def x01_x02_jaro_winkler(spark: SparkSession, d: str) -> DataFrame:
-    """Similarity of each row's name and local part, over distinct values; tested on known vectors."""
+    """Similarity of each row's name and local part, over distinct values."""
     p = pairs(spark, d).select("name_norm", similarity.local_part(F.col("author_email")).alias("un")).distinct()
-    return similarity.winkler_columns(p, {"similarity": ("name_norm", "un")})
+    return similarity.winkler_columns(p, {"similarity": ("name_norm", "un")}).withColumn("similarity", F.round("similarity", 9))
 
 
 @query("""SELECT row_id, year(ts)::BIGINT AS y, month(ts)::BIGINT AS m, weekofyear(ts)::BIGINT AS w, dayofyear(ts)::BIGINT AS doy, (isodow(ts) - 1)::BIGINT AS dow, monthname(ts) AS mn, quarter(ts)::BIGINT AS q, (date_trunc('month', ts) + INTERVAL 3 MONTH)::DATE AS plus3,
@@ -76,18 +101,37 @@ def d04_dense_months(spark: SparkSession, d: str) -> DataFrame:
     return axis.join(c, ["project", "m"], "left").select("project", "m", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query()
-def d11_zone_similarity(spark: SparkSession, d: str) -> DataFrame:
+ZONE_SQL = r"""WITH h AS (SELECT author_email, project, (CASE WHEN z[1] = '-' THEN -1 ELSE 1 END) * (z[2:3]::INT + z[4:5]::INT / 60.0)::DOUBLE AS h FROM (SELECT author_email, project, regexp_extract(commit_date, '([+-][0-9]{4})$', 1) AS z FROM df_all_commits_with_stats WHERE regexp_matches(commit_date, '[+-][0-9]{4}$'))) """
+
+
+def zoned(spark: SparkSession, d: str) -> DataFrame:
     c = read(spark, d, CM).where(r"commit_date RLIKE '[+-][0-9]{4}$'")
-    h = similarity.zone_hours(F.regexp_extract("commit_date", r"([+-]\d{4})$", 1))
-    g = c.groupBy("author_email").agg(F.sort_array(F.collect_set(h)).alias("z"))
-    return g.select("author_email", similarity.zone_similarity(F.col("z")[0], F.element_at("z", -1)).alias("plain"), similarity.zone_similarity(F.col("z")[0], F.element_at("z", -1), True).alias("wrapped"))
+    return c.select("author_email", "project", similarity.zone_hours(F.regexp_extract("commit_date", r"([+-][0-9]{4})$", 1)).alias("h"))
+
+
+@query(ZONE_SQL + """, a AS (SELECT author_email, list_sort(list(h)) AS z FROM h WHERE author_email IS NOT NULL GROUP BY 1), m AS (SELECT author_email, z[len(z) // 2 + 1] AS median FROM a), p AS (SELECT (list_sort(list(h)))[count(*) // 2 + 1] AS middle FROM h)
+    SELECT author_email, median, greatest(0, 1 - least(abs(median - middle), 24) / 24) AS similarity FROM m, p""")
+def d10_median_zone(spark: SparkSession, d: str) -> DataFrame:
+    """The upper median of an author's offsets and how like it is to that of all commits; offsets are few, so counts of them suffice."""
+    n = zoned(spark, d).groupBy("author_email", "h").agg(F.count("*").alias("n"))
+    upper = lambda df, *by: df.groupBy(*by).agg(F.expr("-percentile_disc(0.5) WITHIN GROUP (ORDER BY -h)").alias("m"))
+    by_author = n.where("author_email IS NOT NULL").groupBy("author_email").agg(F.array_sort(F.collect_list(F.struct("h", "n"))).alias("x"), F.sum("n").alias("all"))
+    at = F.aggregate("x", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("m")), lambda a, e: F.struct((a["seen"] + e["n"]).alias("seen"), F.when(a["m"].isNull() & (a["seen"] + e["n"] > F.floor(F.col("all") / 2)), e["h"]).otherwise(a["m"]).alias("m")))
+    middle = upper(zoned(spark, d)).select("m")
+    return by_author.select("author_email", at["m"].alias("median")).withColumn("similarity", similarity.zone_similarity(F.col("median"), middle.scalar()))
+
+
+@query(ZONE_SQL + """SELECT author_email, greatest(0, 1 - least(g, 24) / 24) AS plain, greatest(0, 1 - least(CASE WHEN g > 12 THEN 24 - g ELSE g END, 24) / 24) AS wrapped FROM (SELECT author_email, max(h) - min(h) AS g FROM h GROUP BY 1)""")
+def d11_zone_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """Of the least and the greatest offset of each author, as they are and the other way round the clock."""
+    g = zoned(spark, d).groupBy("author_email").agg(F.min("h").alias("a"), F.max("h").alias("z"))
+    return g.select("author_email", similarity.zone_similarity(F.col("a"), F.col("z")).alias("plain"), similarity.zone_similarity(F.col("a"), F.col("z"), True).alias("wrapped"))
 
 
 # ---- arrays
 
 
-@query("""WITH f AS (SELECT o_custkey AS a, list(DISTINCT l_partkey ORDER BY l_partkey) AS files FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey % 100 < 100 GROUP BY 1)
+@query("""WITH f AS (SELECT o_custkey AS a, list(DISTINCT l_partkey ORDER BY l_partkey) AS files FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)
     SELECT x.a AS a, x.a + 1 AS b, round(len(list_intersect(x.files, y.files))::DOUBLE / len(list_distinct(x.files || y.files)), 6) AS jaccard FROM f x JOIN f y ON y.a = x.a + 1""")
 def r01_file_jaccard(spark: SparkSession, d: str) -> DataFrame:
     """Jaccard similarity of the part sets of each customer and the next one."""
@@ -111,13 +155,15 @@ def r02_x07_bag_cosine(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_type, count(*) AS n, array_to_string(list_sort(list(DISTINCT user_id))[1:5], ';') AS first_users FROM events GROUP BY event_type")
 def r03_array_join(spark: SparkSession, d: str) -> DataFrame:
+    """The five smallest users of each type: all others are dropped before the shuffle."""
     u = read(spark, d, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
-    top = F.slice(F.array_sort(F.collect_list("user_id")), 1, 5)
-    return u.groupBy("event_type").agg(F.sum("n").alias("n"), F.array_join(top.cast("array<string>"), ";").alias("first_users"))
+    few = u.withColumn("i", F.row_number().over(Window.partitionBy("event_type").orderBy("user_id"))).where("i <= 5")
+    few = few.groupBy("event_type").agg(F.array_join(F.array_sort(F.collect_list("user_id")).cast("array<string>"), ";").alias("first_users"))
+    return u.groupBy("event_type").agg(F.sum("n").alias("n")).join(few, "event_type")
 
 
 @query("SELECT label, i::BIGINT AS i, round(avg(v), 6) AS mean FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY 1, 2")
-def r04_r08_mean_vector(spark: SparkSession, d: str) -> DataFrame:
+def r08_mean_vector(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "v"))
     return e.groupBy("label", F.col("i").cast("long").alias("i")).agg(F.round(F.avg(F.col("v").cast("double")), 6).alias("mean"))
 
@@ -133,7 +179,7 @@ def a33_author_profile(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"""WITH n AS (SELECT DISTINCT lower(trim(regexp_replace(author_name, '\s+', ' ', 'g'))) AS n FROM {P}) SELECT tok, sum(f)::BIGINT AS as_first, sum(l)::BIGINT AS as_last FROM
     (SELECT string_split(n, ' ')[1] AS tok, 1 AS f, 0 AS l FROM n UNION ALL SELECT string_split(n, ' ')[-1], 0, 1 FROM n) GROUP BY tok""")
-def a34_f09_token_frequency(spark: SparkSession, d: str) -> DataFrame:
+def a34_token_frequency(spark: SparkSession, d: str) -> DataFrame:
     p = similarity.name_parts(F.col("author_name"))
     n = pairs(spark, d).select(p["n"].alias("n"), p["fn"].alias("fn"), p["ln"].alias("ln")).distinct()
     t = n.select(F.explode(F.array(F.struct(F.col("fn").alias("tok"), F.lit(1).alias("f"), F.lit(0).alias("l")), F.struct(F.col("ln").alias("tok"), F.lit(0).alias("f"), F.lit(1).alias("l")))).alias("x"))
@@ -153,18 +199,77 @@ def j10_f11_author_pairs(spark: SparkSession, d: str) -> DataFrame:
     return similarity.blocked_author_pairs(authors(spark, d), "project", "k", "author_name", "author_email", most=500).select("project", "k1", "k2")
 
 
-@query()
+AUTHORS_SQL = r"""WITH RECURSIVE a AS MATERIALIZED (SELECT *, lower(trim(regexp_replace(author_name, '\s+', ' ', 'g'))) AS nn, lower(trim(author_email)) AS ee FROM (SELECT project, author_name, author_email, min(row_id) AS k FROM {P} WHERE author_name <> '' AND author_email <> '' GROUP BY 1, 2, 3)),
+    ap AS MATERIALIZED (SELECT *, string_split(nn, ' ')[1] AS fn, string_split(nn, ' ')[-1] AS ln, split_part(ee, '@', 1) AS un FROM a) """
+PAIRED_SQL = AUTHORS_SQL + """, b AS (SELECT project, k, unnest(list_distinct([fn, ln, un])) AS t FROM ap), pr AS MATERIALIZED (SELECT DISTINCT x.project, x.k AS k1, y.k AS k2 FROM b x JOIN b y ON x.project = y.project AND x.t = y.t AND x.k < y.k WHERE x.t <> '') """
+WORDS_SQL = r"array_to_string(list_filter(string_split(regexp_replace({X}, '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> ''), ' ')"
+FEATURES_SQL = PAIRED_SQL + ", w AS MATERIALIZED (SELECT *, " + WORDS_SQL.replace("{X}", "fn") + " AS fw, " + WORDS_SQL.replace("{X}", "ln") + " AS lw FROM ap), f AS MATERIALIZED (SELECT pr.project, k1, k2, x.nn AS n1, x.fn AS f1, x.ln AS l1, x.un AS u1, x.ee AS e1, x.fw AS fw1, x.lw AS lw1, y.nn AS n2, y.fn AS f2, y.ln AS l2, y.un AS u2, y.ee AS e2, y.fw AS fw2, y.lw AS lw2 FROM pr JOIN w x ON x.k = k1 JOIN w y ON y.k = k2) "
+COSINE_SQL = r""", ms AS (SELECT w.k, unnest(regexp_extract_all(lower(message), '[a-z0-9_]+')) AS tok FROM df_all_commits_with_stats c JOIN ap w ON c.project = w.project AND trim(c.author_name) = trim(w.author_name) AND trim(c.author_email) = trim(w.author_email)),
+    bw AS MATERIALIZED (SELECT k, tok, count(*)::DOUBLE AS n FROM ms GROUP BY 1, 2), nr AS (SELECT k, sqrt(sum(n * n)) AS norm FROM bw GROUP BY 1) """
+
+
+@query(PAIRED_SQL + "SELECT * FROM pr")
 def j10_author_pairs(spark: SparkSession, d: str) -> DataFrame:
     """The same pairs in projects of any size."""
     return similarity.blocked_author_pairs(authors(spark, d), "project", "k", "author_name", "author_email").select("project", "k1", "k2")
 
 
-@query()
+@query(PAIRED_SQL + "SELECT * FROM pr ORDER BY project, k1, k2 LIMIT 1000")
+def o06_capped_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The reference's cap on pairs: the first thousand in order, an option that is asked for."""
+    return j10_author_pairs(spark, d).orderBy("project", "k1", "k2").limit(1000)
+
+
+def all_features(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    a = authors(spark, d)
+    return a, similarity.blocked_author_pairs(a, "project", "k", "author_name", "author_email")
+
+
+COMPARED = (("n1", "n2"), ("e1", "e2"), ("l1", "l2"), ("f1", "f2"), ("u1", "u2"), ("f1", "l2"), ("l1", "f2"), ("lw1", "lw2"), ("fw1", "fw2"))
+SCORED_SQL = FEATURES_SQL + ", g AS MATERIALIZED (SELECT project, k1, k2, " + ", ".join(f"{winkler_sql(a, b)} AS {c}" for (a, b), c in zip(COMPARED, ("n", "e", "ln", "fn", "un", "x1", "x2", "ln1", "fn1"))) + " FROM f) "
+
+
+@query(SCORED_SQL + "SELECT project, k1, k2, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("n", "e", "ln", "fn", "un", "ln1", "fn1")) + ", round(greatest(x1, x2), 6) AS ifn FROM g")
 def f01_f08_pair_features(spark: SparkSession, d: str) -> DataFrame:
-    p = similarity.pair_features(similarity.blocked_author_pairs(authors(spark, d), "project", "k", "author_name", "author_email"))
+    p = similarity.pair_features(all_features(spark, d)[1])
     return p.select("project", "k1", "k2", *[F.round(c, 6).alias(c) for c in ("n", "e", "ln", "fn", "un", "ifn", "ln1", "fn1")])
 
 
+@query(FEATURES_SQL + ", nm AS (SELECT DISTINCT nn, fn, ln FROM ap) SELECT project, k1, k2, round(1.0 / (SELECT count(*) FROM nm WHERE nm.ln = l1), 9) AS ln1f, round(1.0 / (SELECT count(*) FROM nm WHERE nm.fn = f1), 9) AS fnf FROM f")
+def f09_pair_rarity(spark: SparkSession, d: str) -> DataFrame:
+    """How rare the last and the first name of the pair's first author are."""
+    a, p = all_features(spark, d)
+    r = similarity.rarity_features(p, a, "author_name")
+    return r.select("project", "k1", "k2", F.round("ln1f", 9).alias("ln1f"), F.round("fnf", 9).alias("fnf"))
+
+
+@query(FEATURES_SQL + COSINE_SQL + ", dt AS (SELECT k1, k2, sum(x.n * y.n) AS dot FROM pr JOIN bw x ON x.k = k1 JOIN bw y ON y.k = k2 AND y.tok = x.tok GROUP BY 1, 2) SELECT pr.project, pr.k1, pr.k2, round(coalesce(dot / (a.norm * b.norm), 0), 6) AS d2vsim FROM pr LEFT JOIN dt USING (k1, k2) LEFT JOIN nr a ON a.k = k1 LEFT JOIN nr b ON b.k = k2")
+def f10_message_similarity(spark: SparkSession, d: str) -> DataFrame:
+    a, p = all_features(spark, d)
+    s = similarity.message_similarity(p.select("project", "k1", "k2"), message_profiles(a, read(spark, d, CM)), "k")
+    return s.select("project", "k1", "k2", F.round("d2vsim", 6).alias("d2vsim"))
+
+
+def score(features: DataFrame) -> DataFrame:
+    """Default scorer: (k1, k2, p) from a logistic weighting of the name features. Any function of this form, such as a trained model's, can take its place."""
+    z = 6 * F.col("n") + 4 * F.col("un") + 3 * F.col("ifn") + 2 * F.col("e") - 10.5
+    return features.select("k1", "k2", (1 / (1 + F.exp(-z))).alias("p"))
+
+
+def merge_by_score(authors: DataFrame, pairs: DataFrame, scorer=score, least: float = 0.5) -> DataFrame:
+    """Per project its authors, what they merge to where ``scorer`` gives a pair more than ``least``, and the reduction."""
+    return merged_counts(authors, scorer(similarity.pair_features(pairs)).where(F.col("p") > least).select("k1", "k2"))
+
+
+COMPONENTS_SQL = ", ed AS (SELECT k1 AS a, k2 AS b FROM lk UNION SELECT k2, k1 FROM lk), rc(v, c) AS (SELECT a, a FROM ed UNION SELECT ed.b, rc.c FROM rc JOIN ed ON ed.a = rc.v), cc AS MATERIALIZED (SELECT v, min(c) AS c FROM rc GROUP BY v) "
+REDUCED_SQL = "SELECT project, count(*) AS distinct_pairs, count(DISTINCT coalesce(c, k)) AS merged, count(*) - count(DISTINCT coalesce(c, k)) AS reduction, false AS skipped FROM ap LEFT JOIN cc ON cc.v = ap.k GROUP BY project"
+
+
+@query(SCORED_SQL + ", lk AS MATERIALIZED (SELECT k1, k2 FROM g WHERE 1 / (1 + exp(-(6 * n + 4 * un + 3 * greatest(x1, x2) + 2 * e - 10.5))) > 0.5)" + COMPONENTS_SQL + REDUCED_SQL)
+def g04_merge_by_score(spark: SparkSession, d: str) -> DataFrame:
+    return merge_by_score(*all_features(spark, d))
+
+
 def merged_counts(authors: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
     """Per project its authors, what they merge to over ``edges`` (k1, k2) and the reduction; both null where the guard ``most`` skips the project."""
     cc = components.connected_components(edges, "k1", "k2")
@@ -173,11 +278,16 @@ def merged_counts(authors: DataFrame, edges: DataFrame, most: int | None = None)
     return g.select("project", "distinct_pairs", "merged", (F.col("distinct_pairs") - F.col("merged")).alias("reduction"), "skipped")
 
 
-def merge_edges(authors: DataFrame, commits: DataFrame) -> DataFrame:
-    """(k1, k2) of the authors of a project with d2vSim > 0.8 and n > 0.5 (G5); d2vSim is the cosine of the word counts of their messages."""
+def message_profiles(authors: DataFrame, commits: DataFrame) -> DataFrame:
+    """(k, words, counts): the word counts of the messages of every author of a project."""
     a = authors.select("k", "project", F.trim("author_name").alias("name"), F.trim("author_email").alias("mail"))
     c = commits.select("project", F.trim("author_name").alias("name"), F.trim("author_email").alias("mail"), "message").join(a, ["project", "name", "mail"])
-    p = similarity.word_counts(c, "k", "message").join(authors.select("k", "project"), "k")
+    return similarity.word_counts(c, "k", "message")
+
+
+def merge_edges(authors: DataFrame, commits: DataFrame) -> DataFrame:
+    """(k1, k2) of the authors of a project with d2vSim > 0.8 and n > 0.5 (G5); d2vSim is the cosine of the word counts of their messages."""
+    p = message_profiles(authors, commits).join(authors.select("k", "project"), "k")
     names = authors.select("k", similarity.name_parts(F.col("author_name"))["n"].alias("nn"))
     like = similarity.like_profiles(p, "project", "k", 0.8)
     for i in ("1", "2"):
@@ -194,19 +304,31 @@ def multi_email_groups(authors: DataFrame, edges: DataFrame) -> DataFrame:
     return g.withColumn("num_emails", F.size("emails")).where("num_emails > 1")
 
 
-@query()
-def g04_g05_f12_threshold_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Authors merged where a scorer passes 0.5; the scorer is the reference's threshold proxy."""
+PROXY_SQL = AUTHORS_SQL + COSINE_SQL + """, sm AS MATERIALIZED (SELECT p.k AS k1, q.k AS k2, p.nn AS n1, q.nn AS n2, sum(x.n * y.n) / (max(a.norm) * max(b.norm)) AS sim FROM ap p JOIN ap q ON p.project = q.project AND p.k < q.k JOIN bw x ON x.k = p.k JOIN bw y ON y.k = q.k AND y.tok = x.tok
+    JOIN nr a ON a.k = p.k JOIN nr b ON b.k = q.k GROUP BY 1, 2, 3, 4 HAVING sim > 0.8), lk AS MATERIALIZED (SELECT k1, k2 FROM sm WHERE """ + winkler_sql("n1", "n2") + " > 0.5)" + COMPONENTS_SQL
+LISTED_SQL = "SELECT project, c AS first_row, string_agg(DISTINCT CASE WHEN trim(author_name) <> '' THEN author_name END, '; ' ORDER BY CASE WHEN trim(author_name) <> '' THEN author_name END) AS names, list_sort(list(DISTINCT CASE WHEN contains(author_email, '@') THEN trim(author_email) END) FILTER (contains(author_email, '@'))) AS emails FROM ap JOIN cc ON cc.v = ap.k GROUP BY project, c"
+
+
+@query(PROXY_SQL + REDUCED_SQL)
+def g05_f12_threshold_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Authors merged by the reference's threshold proxy."""
     a = authors(spark, d)
     return merged_counts(a, merge_edges(a, read(spark, d, CM)))
 
 
-@query()
+@query(PROXY_SQL + f"SELECT *, len(emails)::INT AS num_emails FROM ({LISTED_SQL}) WHERE len(emails) > 1")
 def g05_multi_email_groups(spark: SparkSession, d: str) -> DataFrame:
     a = authors(spark, d)
     return multi_email_groups(a, merge_edges(a, read(spark, d, CM)))
 
 
+@query(PROXY_SQL + f"SELECT row_number() OVER (ORDER BY len(emails) DESC, project, first_row) AS rank, *, len(emails)::INT AS num_emails FROM ({LISTED_SQL}) WHERE len(emails) > 2")
+def g05b_groups_of_many_emails(spark: SparkSession, d: str) -> DataFrame:
+    """Groups with more than two addresses, those with most first; the ranks come from a range sort."""
+    g = g05_multi_email_groups(spark, d).where("num_emails > 2").withColumns({"down": -F.col("num_emails"), "one": F.lit(1), "all": F.lit(0)})
+    return prefix_sum(g, ["all"], ["down", "project", "first_row"], "one", "rank").drop("down", "one", "all")
+
+
 # ---- identity
 
 
@@ -314,4 +436,3 @@ def m06_method_gaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES, SQL = query.queries, query.sql
-assert Window and stripped

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tributary.sources.sinks import ABSENT
+
 DIFF_LIMIT = 100_000
 
 
 def read_delimited(spark: SparkSession, path: str | list[str], schema: StructType | str, **options: str) -> DataFrame:
     """Delimited files with a header, quotes doubled or escaped, values over several lines; wrong values become null."""
-    o = {"header": "true", "multiLine": "true", "escape": '"', "mode": "PERMISSIVE", "enforceSchema": "false"} | options
+    o = {"header": "true", "multiLine": "true", "escape": '"', "mode": "PERMISSIVE", "enforceSchema": "false", "nullValue": ABSENT, "emptyValue": ""} | options
     return spark.read.schema(schema).options(**o).csv(path)
 
 
@@ -22,6 +27,36 @@ def read_folder(spark: SparkSession, path: str, schema: StructType | str, glob:
     return df.withColumn(key, F.coalesce(F.nullif(F.col(key), F.lit("")), stem) if key in df.columns else stem)
 
 
+def present(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of the paths that exist; a project without its file is left out."""
+    out = []
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+            out.append(path)
+    return out
+
+
+def read_folders(spark: SparkSession, paths: list[str], schema: StructType | str, glob: str = "*.csv", key: str = "project") -> DataFrame:
+    """The folders of ``paths`` that exist, one below the other; wrong lines and values become nulls."""
+    out = None
+    for path in present(spark, paths):
+        df = read_folder(spark, path, schema, glob, key)
+        out = df if out is None else out.unionByName(df)
+    return out if out is not None else spark.createDataFrame([], schema)
+
+
+def read_sources(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(path, text, size) of all files below a folder; bytes that are not UTF-8 are left out of the text, a mark of byte order too. Empty files have no row."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"path": b["path"], "text": [bytes(x).decode("utf-8", "ignore").removeprefix("\ufeff") for x in b["content"]], "size": b["length"]})
+
+    return raw.select("path", "content", "length").mapInPandas(run, "path string, text string, size long")
+
+
 def conform(df: DataFrame, schema: StructType) -> DataFrame:
     """``df`` with exactly the columns of ``schema``: absent ones null, texts cast where they can be, others dropped."""
     have = set(df.columns)
@@ -39,12 +74,15 @@ def parse_framed_log(records: DataFrame, value: str = "value", merges: bool = Tr
     """Commits of a log framed by record (1E) and unit (1F) separators, with added and deleted lines of each file.
 
     (commit, author_name, author_email, date, timezone, message, num_files, files_changed, total_additions, total_deletions,
-    additions_by_file, deletions_by_file). ``-`` for binary files counts as 0. ``empty`` keeps commits without files.
+    additions_by_file, deletions_by_file). ``-`` for binary files counts as 0. ``empty`` keeps commits without files, ``merges`` those whose sixth
+    field names more than one parent.
     """
     lines = F.split(F.trim(F.regexp_replace(value, "\x1e", "")), "\n")
     u = F.split(lines[0], "\x1f")
     stat = F.filter(F.transform(F.slice(lines, 2, F.size(lines)), lambda x: F.split(x, "\t", 3)), lambda x: F.size(x) == 3)
     r = records.withColumn("__u", u).withColumn("__s", stat).where(F.size("__u") >= 5)
+    if not merges:
+        r = r.where(~F.contains(F.trim(F.coalesce(F.get("__u", F.lit(5)), F.lit(""))), F.lit(" ")))
     n = lambda i: F.aggregate("__s", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x[i].try_cast("long"), F.lit(0).cast("long")))
     per = lambda i: F.map_from_entries(F.array_distinct(F.transform("__s", lambda x: F.struct(x[2], F.coalesce(x[i].try_cast("long"), F.lit(0).cast("long"))))))
     out = r.select(

@@ -5,9 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+ABSENT = "\\N"  #: stands for null in delimited files, so that an empty text stays one
+DELIMITED = {"header": "true", "escape": '"', "emptyValue": '""', "nullValue": ABSENT, "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
 
 def write_delimited(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("header", "true").option("escape", '"').csv(path)
+    """Delimited files with a header; texts keep the blanks at their ends, and null is told from an empty text."""
+    df.write.mode(mode).options(**DELIMITED).csv(path)
+
+
+def write_named(df: DataFrame, path: str, folder: str, name: str, ending: str = "_pairs.csv") -> None:
+    """A folder for each value of ``folder`` and in it one delimited file for each value of ``name``, named after it; for the projects of a study, few as they are."""
+    spark = df.sparkSession
+    df.repartition(folder, name).write.mode("overwrite").partitionBy(folder, name).options(**DELIMITED).csv(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    for one in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}=*/{name}=*/part-*.csv")):
+        parts = [x.partition("=")[2] for x in str(one.getPath().toString()).split("/")[-3:-1]]
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{parts[0]}/{parts[1]}{ending}")
+        fs.mkdirs(target.getParent())
+        fs.rename(one.getPath(), target)
 
 
 def write_partitioned(df: DataFrame, path: str, *by: str, mode: str = "append") -> None:

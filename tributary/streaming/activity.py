@@ -29,9 +29,9 @@ def sessions(events: DataFrame, ts: str, user: str, gap: str, late: str) -> Data
 
 
 def departures(events: DataFrame, ts: str, user: str, idle_ms: int, late: str) -> DataFrame:
-    """(user, last_ts, events): each time a user stayed away for ``idle_ms``, the last event before and the events up to it.
+    """(user, last_ts, events): each time a user stayed away for more than ``idle_ms``, the last event before and the events of that stay.
 
-    Gaps inside a batch are read off the sorted events; gaps at its end by a timer on event time.
+    Gaps inside a batch are read off the sorted events; gaps at its end by a timer on event time, once the watermark has passed them.
     """
     kind = events.schema[user].dataType.simpleString()
 
@@ -45,6 +45,7 @@ def departures(events: DataFrame, ts: str, user: str, idle_ms: int, late: str) -
             for t in sorted(int(x.timestamp() * 1000) for b in batches for x in b[ts]):
                 if n and t - last > idle_ms:
                     gone.append((last, n))
+                    last, n = 0, 0
                 last, n = max(last, t), n + 1
             state.update((last, n))
             state.setTimeoutTimestamp(max(last + idle_ms, state.getCurrentWatermarkMs() + 1))
@@ -55,8 +56,18 @@ def departures(events: DataFrame, ts: str, user: str, idle_ms: int, late: str) -
     return e.groupBy(user).applyInPandasWithState(run, f"{user} {kind}, last_ts timestamp, events long", "last long, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Take a stream of finite input to its end into a table in memory and give that table."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_table(stream: DataFrame, path: str, mode: str, checkpoint: str) -> DataFrame:
+    """Take a stream of finite input to its end into a table in the shared folder and give that table.
+
+    In complete mode each batch replaces the table. ``late_rows`` of the result counts the rows (after combining within a task) that came behind the watermark and
+    were dropped. No row passes through the driver.
+    """
+    w = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        q = w.format("parquet").start(path)
+    else:
+        q = w.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    out = stream.sparkSession.read.schema(stream.schema).parquet(path)
+    out.late_rows = sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in p["stateOperators"])
+    return out
