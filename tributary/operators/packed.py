@@ -230,10 +230,11 @@ def by_count(parts: list[str], wanted: int) -> list[str]:
 
 
 def score(a: str, b: str) -> int:
-    """How much ``a, b`` looks like one value: family name, given name or a suffix behind a name."""
+    """How much ``a, b`` looks like one value: family name, then a given name or a short suffix."""
     if "@" in a or "@" in b:
         return 0
-    one = len(b.split()) <= 2 and (b[:1].isupper() or b.lower().rstrip(".") in ("inc", "ltd", "gmbh", "llc", "jr", "sr"))
+    suffix = b.rstrip(".")
+    one = len(b.split()) <= 2 and (b[:1].isupper() or (len(suffix) <= 4 and suffix.isalpha()))
     return 2 * (len(a.split()) == 1 and a[:1].isupper() and not any(c.isdigit() or c in "_." for c in a)) + one
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zipfile
@@ -45,8 +46,26 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+_rooted: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tributary/{label}-{uuid.uuid4().hex}"
+    """A fresh path in this application's part of the shared folder, which is deleted when Python ends."""
+    app = spark.sparkContext.applicationId
+    root = f"{shared_dir(spark)}/tributary/{app}"
+    if app not in _rooted:
+        _rooted.add(app)
+        atexit.register(clear, spark, root)
+    return f"{root}/{label}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared one; nothing happens where the session has ended."""
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the JVM is gone
+        pass
 
 
 def materialise(df: DataFrame, label: str, **measures: Column) -> DataFrame:
@@ -66,9 +85,7 @@ def discard(df: DataFrame) -> None:
     """Delete a table made by :func:`materialise` once nothing reads it any more."""
     path = getattr(df, "_tributary_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        clear(df.sparkSession, path)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
