@@ -28,9 +28,10 @@ RUN, WIDE_RUN = 10, 20  #: words, or characters, in a row that make a leak
 SHARE = 0.4  #: part of a passage that an item holds in the same order where it is a paraphrase
 ANSWER = 0.25  #: part of the telling words, by weight, that a paraphrase holds: SHARE of them, of which a passage covers five eighths at least
 
+TERMS_AT_HAND = 300_000  #: terms a Python worker remembers
+
 _WORD = re.compile(r"[^\W_]+")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
-_GLUED = re.compile(r"[^\W_]")
 
 
 def words(text: str) -> list[str]:
@@ -44,7 +45,7 @@ def letters(text: str) -> str:
 
 
 def fold(text: str) -> str:
-    return unicodedata.normalize("NFC", text).lower()
+    return (text if text.isascii() else unicodedata.normalize("NFC", text)).lower()
 
 
 def pairs_of(chars: str) -> list[str]:
@@ -56,6 +57,36 @@ def term_id(term: str) -> int:
     return zlib.crc32(term.encode("utf-8", "surrogatepass")) % IDF_BUCKETS
 
 
+class Buckets(dict):
+    """Buckets of the terms seen so far."""
+
+    def __missing__(self, term: str) -> int:
+        self[term] = i = term_id(term)
+        return i
+
+
+class Terms(dict):
+    """Places of the terms seen so far in ``ids``, their numbers in an index' vocabulary or -1, and ``weights``."""
+
+    def __init__(self, index: ItemIndex):
+        self.index, self.ids, self.weights = index, np.full(1 << 12, -1, dtype=np.int64), np.zeros(1 << 12, dtype=np.float32)
+
+    def __missing__(self, term: str) -> int:
+        n = len(self)
+        if n == len(self.ids):
+            self.ids, self.weights = np.concatenate([self.ids, self.ids]), np.concatenate([self.weights, self.weights])
+        self.ids[n], self.weights[n] = self.index.vocabulary.get(term, -1), self.index.idf[term_id(term)]
+        self[term] = n
+        return n
+
+    def of(self, terms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Vocabulary numbers and weights of a sequence of terms."""
+        if len(self) > TERMS_AT_HAND:
+            self.clear()
+        at = np.fromiter(map(self.__getitem__, terms), np.int64, len(terms))
+        return self.ids[at], self.weights[at]
+
+
 def views(text: str, wide: bool | None = None) -> list[tuple[bool, list[str]]]:
     """The term sequences of a text: its words, and for texts in scripts without blanks its characters."""
     out = [] if wide else [(False, words(text))]
@@ -75,18 +106,12 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = np.zeros(IDF_BUCKETS + 1, dtype=np.int64)
-        seen: dict[str, int] = {}
+        seen = Buckets()
         for b in batches:
             for t in b["t"]:
-                ids = set()
-                for _, terms in views(t):
-                    for w in set(terms):
-                        i = seen.get(w)
-                        if i is None:
-                            if len(seen) > 300_000:
-                                seen.clear()
-                            i = seen[w] = term_id(w)
-                        ids.add(i)
+                if len(seen) > TERMS_AT_HAND:
+                    seen.clear()
+                ids = {i for _, terms in views(t) for i in map(seen.__getitem__, set(terms))}
                 n[list(ids)] += 1
                 n[IDF_BUCKETS] += 1
         i = np.flatnonzero(n)
@@ -240,7 +265,15 @@ def longest_run(a: list[str], b: list[str]) -> int:
     return best
 
 
-def candidate_passages(text: str, index: ItemIndex, seen: dict[str, tuple[int, float]], share: float | None = None) -> Iterator[tuple[int, int, int, float, bool, list[str]]]:
+def longest_stretch(known: np.ndarray, need: int) -> bool:
+    """Whether ``need`` in a row are set."""
+    if len(known) < need:
+        return False
+    gaps = np.flatnonzero(~known)
+    return bool(np.diff(gaps, prepend=-1, append=len(known)).max() > need)
+
+
+def candidate_passages(text: str, index: ItemIndex, seen: Terms, share: float | None = None) -> Iterator[tuple[int, int, int, float, bool, list[str]]]:
     """(start, end, item, cosine, wide, terms) of the passages of a text that come near an item's passages.
 
     Without ``share`` only runs are looked for, and passages in which no run of the leak length lies inside the items' vocabulary
@@ -253,16 +286,10 @@ def candidate_passages(text: str, index: ItemIndex, seen: dict[str, tuple[int, f
         spans = windows(len(terms), wide)
         if not spans:
             continue
-        for w in terms:
-            if w not in seen:
-                if len(seen) > 300_000:
-                    seen.clear()
-                    break
-                seen[w] = (index.vocabulary.get(w, -1), float(index.idf[term_id(w)]))
-        looked = [seen.get(w) or (index.vocabulary.get(w, -1), float(index.idf[term_id(w)])) for w in terms]
-        ids = np.array([x[0] for x in looked], dtype=np.int64)
-        weights = np.array([x[1] for x in looked], dtype=np.float32)
+        ids, weights = seen.of(terms)
         known = ids >= 0
+        if share is None and not longest_stretch(known, WIDE_RUN - 1 if wide else RUN):
+            continue
         square = np.concatenate([[0], np.cumsum(weights * weights)])
         hit = np.concatenate([[0], np.cumsum(weights * weights * known)])
         lo, hi = np.array([a for a, _ in spans]), np.array([b for _, b in spans])
@@ -340,15 +367,17 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str
         index = ItemIndex(block, idf, filler, spark, rank)
 
         def run(batches: Iterator[pd.DataFrame], index: ItemIndex = index) -> Iterator[pd.DataFrame]:
-            seen: dict[str, tuple[int, float]] = {}
+            seen = Terms(index)
             for b in batches:
                 found: dict[tuple, list] = {}
                 for d, t in zip(b["k"], b["t"]):
-                    chars = letters(t) if _WIDE.search(t) else ""
+                    chars = None
                     passages: dict[tuple[bool, int], tuple] = {}
                     for lo, hi, item, cos, wide, terms in candidate_passages(t, index, seen, share):
                         need = WIDE_RUN if wide else RUN
                         if (wide, lo) not in passages:  # once for all items the passage comes near
+                            if wide and chars is None:
+                                chars = letters(t)
                             units = chars[lo:hi] if wide else terms[lo:hi]
                             passages[wide, lo] = units, {hash_run(units[i : i + need]) for i in range(len(units) - need + 1)}
                         units, hashes = passages[wide, lo]
