@@ -75,3 +75,52 @@ def test_monge_elkan_and_given_names():
     assert N.given_fit(s("robert"), s("bob")) > 0.9 and N.given_fit("r", s("robert")) == 0.9 and N.given_fit(s("anna"), s("karl")) == 0
     assert N.agree("anna", "kastelruth", "anna", "kastelrutth") > N.MONGE and N.agree("anna", "kastelruth", "karl", "kastelruth") == 0
     assert N.edits("abcd", "abdc") == 1
+
+
+def test_buckets_dealt_out_in_parts_give_every_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(N, "BUCKET_PART", 3)
+    rows = [("a", f"x{i}") for i in range(20)] + [("b", "x1"), ("b", "x2"), ("b", "y"), ("c", "z")]
+    got = [tuple(r) for r in N.meet(spark.createDataFrame(rows, "k string, v string"), "k", "v").collect()]
+    want = {(a, b) for k in "abc" for a in {v for c, v in rows if c == k} for b in {v for c, v in rows if c == k} if a < b}
+    assert len(got) == len(set(got)) and set(got) == want
+    e = spark.createDataFrame([(i, 0, 11) for i in range(11)] + [(20, 20, 1)], "row_id long, entity long, entity_rows long")
+    pairs = [tuple(r) for r in N.same_entity_pairs(e).collect()]
+    assert len(pairs) == len(set(pairs)) == 55
+
+
+def test_lexicon_does_not_depend_on_the_size_of_the_table(spark):
+    """Ten times as many people of the same given names: the same words are given names, mistyped ones are not."""
+    for people in (20, 200):
+        rows = [(g, "fam" + "abcdefghij"[i % 10] * 3 + f"{(k * people + i) // 2}x") for k, g in enumerate(GIVEN) for i in range(people)]
+        rows += [("robret", f) for g, f in rows[: people // 20 + 4]]
+        both = rows + [(b, a) for a, b in rows]
+        assert N.lexicon_words(spark.createDataFrame(both, "one string, other string")) == set(GIVEN)
+
+
+def test_candidates_of_short_names_swaps_and_first_letters(spark):
+    """Pairs the bands alone may miss: swapped letters in short names, a mistyped given name beside a mistyped family name, nicknames and their initials."""
+    pairs = [(("anna", "berk"), ("anna", "brek")), (("karl", "lindt"), ("karl", "lidnt")), (("robert", "kastelruth"), ("tobert", "kastelrutth")), (("b", "wimmerlow"), ("william", "wimerlow")), (("bill", "tolvanica"), ("will", "tolvanika"))]
+    forms = sorted({x for p in pairs for x in p} | {(g, f) for g in GIVEN for f in FAMILY})
+    got = {tuple(r) for r in N.near_families(spark.createDataFrame(forms, "g string, f string")).collect()}
+    for (_, a), (_, b) in pairs:
+        if N.jaro_winkler(a, b) >= N.NEAR:
+            assert (min(a, b), max(a, b)) in got, (a, b)
+    assert not {(a, b) for a, b in got if N.edits(a, b) > N.allowed(a, b)}
+
+
+def test_candidate_recall_over_all_single_edits(spark):
+    """Every accepted pair of a family name and itself with one letter changed, dropped or doubled, or two swapped, is a candidate."""
+    import random
+
+    r = random.Random(6)
+    forms, want = set(), set()
+    for f in FAMILY + ["berk", "lindt", "osman", "keller"]:
+        forms.add(("anna", f))
+        for _ in range(12):
+            i, how = r.randrange(len(f) - 1), r.randrange(4)
+            x = [f[:i] + r.choice("abcdefgh") + f[i + 1 :], f[:i] + f[i + 1 :], f[:i] + f[i] + f[i:], f[:i] + f[i + 1] + f[i] + f[i + 2 :]][how]
+            if x != f and N.jaro_winkler(f, x) >= N.NEAR:
+                forms.add(("anna", x))
+                want.add((min(f, x), max(f, x)))
+    got = {tuple(x) for x in N.near_families(spark.createDataFrame(sorted(forms), "g string, f string")).collect()}
+    assert want <= got and len(want) > 100
