@@ -153,3 +153,30 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
 def test_lifespan_bounds_of_few_projects(spark, rows):
     got = lifecycle.lifespan_bounds(spark.createDataFrame([(f"{p}{i}", d) for i, (p, d) in enumerate(rows)], "p string, d long"), "p", "d").collect()
     assert sum(r["n"] for r in got) == len(rows)
+
+
+def test_found_queries_on_a_fixture(spark, tmp_path):
+    """p2, p4 and p7 over small tables: zones, null churn, a project of one commit, texts without an instant."""
+    from tributary.plans import core_problems as cp
+
+    r = random.Random(3)
+    start, rows, instants = datetime(2018, 1, 1), [], {}
+    for i in range(300):
+        p = "big" if i % 3 else "mid" if i % 2 else f"p{i % 40}"
+        t = start + timedelta(days=r.randrange(0, 1400), hours=r.randrange(24))
+        form = i % 4
+        text = [t.strftime("%Y-%m-%d %H:%M:%S +0000"), t.strftime("%d.%m.%Y %H:%M:%S"), (t + timedelta(hours=5, minutes=30)).strftime("%Y-%m-%dT%H:%M:%S+05:30"), "n/a"][form]
+        if form != 3:
+            instants[i] = (p, t)
+        rows.append((i, p, text, None if i % 7 == 0 else float("nan") if i % 11 == 0 else 1.0 * i, "c"))
+    spark.createDataFrame(rows, "row_id long, project string, commit_date string, churn double, contributor string").write.parquet(f"{tmp_path}/df_all_commits_with_stats.parquet")
+    spark.createDataFrame([(p, "OSS", "UTC") for p in {x[1] for x in rows}], "repo string, category string, home_zone string").write.parquet(f"{tmp_path}/project_list.parquet")
+    d, zero = str(tmp_path), datetime(1970, 1, 1)
+    assert {tuple(x) for x in cp.p4_found(spark, d).collect()} == {(i, (t - zero) // timedelta(microseconds=1)) for i, (_, t) in instants.items()}
+    months: dict = {}
+    for p, t in instants.values():
+        months.setdefault(p, set()).add(t.year * 12 + t.month - 1)
+    want = {(p, f"{m // 12:04d}-{m % 12 + 1:02d}") for p, have in months.items() for m in range(min(have), max(have)) if m not in have}
+    got = [tuple(x) for x in cp.p7_found(spark, d).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert {x[0] for x in cp.p2_found(spark, d).collect()} == {p for p in {x[1] for x in rows} if sum(x[1] == p for x in rows) >= 12}

@@ -18,7 +18,7 @@ CM = "df_all_commits_with_stats"
 @query(r"""SELECT row_id, string_split(n, ' ')[1] AS fn, string_split(n, ' ')[-1] AS ln, lower(split_part(trim(author_email), '@', 1)) AS un, regexp_extract_all(lower(author_name), '[a-z0-9_]+') AS tokens,
     regexp_replace(author_name, '<.*?>', '', 'g') AS untagged, author_name || '|' || author_email AS both_key, substring(author_name, 1, 12) AS cut, list_filter(list_transform(string_split(author_name, ';'), lambda x: trim(x)), lambda x: x <> '')[1] AS first_item
     FROM (SELECT *, lower(trim(regexp_replace(author_name, '\s+', ' ', 'g'))) AS n FROM {P})""")
-def x03_x11_name_parts(spark: SparkSession, d: str) -> DataFrame:
+def x03_x04_x07_x08_x10_x15_name_parts(spark: SparkSession, d: str) -> DataFrame:
     p, part = pairs(spark, d), similarity.name_parts(F.col("author_name"))
     items = F.filter(F.transform(F.split("author_name", ";"), lambda x: F.trim(x)), lambda x: x != "")
     return p.select(
