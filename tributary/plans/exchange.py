@@ -205,10 +205,10 @@ def stream_daily_windows(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.col("start").cast("timestamp_ntz").alias("start"), "events")
 
 
-@query("SELECT time_bucket(INTERVAL 2 DAY, w, TIMESTAMP '1970-01-01') + INTERVAL 1 DAY * o AS start, count(*) AS events, count(DISTINCT user_id) >= 1 AS some FROM (SELECT ts AS w, user_id, 0 AS o FROM events) GROUP BY 1")
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) - INTERVAL 1 DAY * o AS start, count(*) AS events, count(DISTINCT user_id) >= 1 AS some FROM events, (VALUES (0), (1)) t(o) GROUP BY 1")
 def stream_sliding_windows(spark: SparkSession, d: str) -> DataFrame:
-    """Windows of two days by their start, with approximate numbers of users (only whether there are any is compared)."""
-    s = activity.windowed_activity(event_stream(spark, d), "ts", "user_id", "2 days", "2 days", "1 day")
+    """Windows of two days that start every day, with approximate numbers of users (only whether there are any is compared)."""
+    s = activity.windowed_activity(event_stream(spark, d), "ts", "user_id", "2 days", "1 day", "1 day")
     t = activity.run_to_table(s, scratch_path(spark, "sink"), "complete", scratch_path(spark, "stream"))
     return t.select(F.col("start").cast("timestamp_ntz").alias("start"), "events", (F.col("users") >= 1).alias("some"))
 
