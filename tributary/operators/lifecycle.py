@@ -36,10 +36,11 @@ def join_leave_by_month(active: DataFrame, project: str, author: str, month: str
     """
     a = active.select(F.col(project).alias("p"), F.col(author).alias("a"), F.col(month).cast("int").alias("m")).dropna().distinct()
     span = a.groupBy("p").agg((F.min("m") + width - 1).alias("lo"), F.max("m").alias("hi"))
-    seen = a.select("p", "a", F.explode(F.sequence(F.col("m"), F.col("m") + width - 1)).alias("w")).distinct().join(span, "p")
-    now = seen.where(F.col("w").between(F.col("lo"), F.col("hi"))).select("p", "a", "w", F.lit(1).alias("cur"), F.lit(0).alias("old"))
-    old = seen.where((F.col("w") >= F.col("lo")) & (F.col("w") + width <= F.col("hi"))).select("p", "a", (F.col("w") + width).alias("w"), F.lit(0).alias("cur"), F.lit(1).alias("old"))
-    per = now.unionByName(old).groupBy("p", "w", "a").agg(F.max("cur").alias("cur"), F.max("old").alias("old"))
+    # a month belongs to the windows that end up to width - 1 months later, and is the past of those after them
+    near = F.transform(F.sequence(F.lit(0), F.lit(2 * width - 1)), lambda o: F.struct((F.col("m") + o).alias("w"), (o < width).cast("int").alias("cur"), (o >= width).cast("int").alias("old")))
+    inside = lambda x: (x["w"] <= F.col("hi")) & (x["w"] - x["old"] * width >= F.col("lo"))
+    seen = a.join(span, "p").select("p", "a", F.explode(F.filter(near, inside)).alias("x"))
+    per = seen.groupBy("p", "x.w", "a").agg(F.max("x.cur").alias("cur"), F.max("x.old").alias("old"))
     win = per.groupBy("p", "w").agg(
         F.sum("cur").alias("na"), F.sum("old").alias("np"), F.sum(F.col("cur") * (1 - F.col("old"))).alias("joined"), F.sum(F.col("old") * (1 - F.col("cur"))).alias("left")
     )

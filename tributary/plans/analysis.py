@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tributary.operators import components, lifecycle, series, statistics
 from tributary.session import materialise, read
-from tributary.sources.views import METRICS, Registry, commits, contributor_file, part_metrics
+from tributary.sources.views import METRICS, Registry, categories, commits, contributor_file, part_metrics
 
 query = Registry()
 
@@ -122,8 +122,7 @@ def rates(spark: SparkSession, d: str) -> DataFrame:
 @query(RATES_SQL.replace("{F}", "true") + "SELECT project, category, round(avg_join_rate, 6) AS avg_join_rate, round(avg_leave_rate, 6) AS avg_leave_rate, printf('%.4f', avg_join_rate) AS join_text FROM rates JOIN (SELECT DISTINCT project, category FROM {C}) USING (project)")
 def l01_k07_join_leave(spark: SparkSession, d: str) -> DataFrame:
     """Average join and leave rate per project over three-month windows sliding by one month."""
-    cat = commits(spark, d).select("project", "category").distinct()
-    r = rates(spark, d).join(cat, "project")
+    r = rates(spark, d).join(categories(spark, d), "project")
     return r.select("project", "category", F.round("avg_join_rate", 6).alias("avg_join_rate"), F.round("avg_leave_rate", 6).alias("avg_leave_rate"), F.format_string("%.4f", "avg_join_rate").alias("join_text"))
 
 

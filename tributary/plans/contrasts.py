@@ -9,7 +9,7 @@ from tributary.operators import lifecycle, statistics
 from tributary.plans.analysis import RATES_SQL, rates
 from tributary.plans.relational import METHODS_SQL, method_counts
 from tributary.session import materialise, read
-from tributary.sources.views import Registry, commits, pairs, part_metrics
+from tributary.sources.views import Registry, categories, commits, pairs, part_metrics
 
 query = Registry()
 
@@ -161,8 +161,7 @@ SHARES_SQL = """SELECT {K} category, quadrant, n, round(100.0 * n / sum(n) OVER
 
 
 def with_category(spark: SparkSession, d: str) -> DataFrame:
-    cat = commits(spark, d).select("project", "category").distinct()
-    return materialise(rates(spark, d).join(cat, "project"), "rates")
+    return materialise(rates(spark, d).join(categories(spark, d), "project"), "rates")
 
 
 def shares(r: DataFrame, *by: str) -> DataFrame:
@@ -204,8 +203,7 @@ STAGE_SQL = " UNION ALL ".join(f"SELECT '{s}' AS stage, * FROM ({CATEGORY_SQL.re
 @query(f"WITH y AS ({STAGE_SQL}), m AS (SELECT stage, median(avg_join_rate) AS mj, median(avg_leave_rate) AS ml FROM y GROUP BY stage), q AS (SELECT y.stage, category, {QUADRANT_SQL} AS quadrant FROM y JOIN m ON m.stage = y.stage) " + SHARES_SQL.replace("{K}", "stage,"))
 def t20_quadrants_of_stage_medians(spark: SparkSession, d: str) -> DataFrame:
     """Quadrants of three stages, each against the medians of its own rates."""
-    c = commits(spark, d)
-    cat, out = c.select("project", "category").distinct(), None
+    c, cat, out = commits(spark, d), categories(spark, d), None
     for stage, where in STAGE_RATES:
         s = c.where(where.replace("TIMESTAMP", "TIMESTAMP_NTZ")).select("project", "author", (F.year("ts") * 12 + F.month("ts")).alias("m"))
         r = lifecycle.join_leave_by_month(s, "project", "author", "m").join(cat, "project").withColumn("stage", F.lit(stage))

@@ -29,6 +29,11 @@ def commits(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def categories(spark: SparkSession, d: str) -> DataFrame:
+    """(project, category) of all suppliers, without a look at their order lines."""
+    return read(spark, d, "supplier").select(F.col("s_suppkey").alias("project"), F.when(F.col("s_nationkey") % 2 == 0, "OSS").otherwise("OSS4SG").alias("category"))
+
+
 COMMITS_SQL = """(SELECT l_suppkey AS project, CASE WHEN s_nationkey % 2 = 0 THEN 'OSS' ELSE 'OSS4SG' END AS category, o_custkey AS author, o_orderdate AS ts,
     l_quantity AS additions, l_linenumber::DOUBLE AS deletions, l_quantity + l_linenumber AS churn, l_returnflag = 'R' AS is_core
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey)"""
