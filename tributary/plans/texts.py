@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tributary.functions.hotjoin import join_hot
 from tributary.functions.prefix import prefix_sum
-from tributary.operators import components, similarity
+from tributary.operators import blocks, components, similarity
 from tributary.session import materialise, read
 from tributary.sources.views import Registry, commits, pairs
 
@@ -231,8 +231,7 @@ SCORED_SQL = FEATURES_SQL + ", g AS MATERIALIZED (SELECT project, k1, k2, " + ",
 
 @query(SCORED_SQL + "SELECT project, k1, k2, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("n", "e", "ln", "fn", "un", "ln1", "fn1")) + ", round(greatest(x1, x2), 6) AS ifn FROM g")
 def f01_f08_pair_features(spark: SparkSession, d: str) -> DataFrame:
-    p = similarity.pair_features(all_features(spark, d)[1])
-    return p.select("project", "k1", "k2", *[F.round(c, 6).alias(c) for c in ("n", "e", "ln", "fn", "un", "ifn", "ln1", "fn1")])
+    return blocks.pair_features(authors(spark, d), "project", "k", "author_name", "author_email", digits=6)
 
 
 @query(FEATURES_SQL + ", nm AS (SELECT DISTINCT nn, fn, ln FROM ap) SELECT project, k1, k2, round(1.0 / (SELECT count(*) FROM nm WHERE nm.ln = l1), 9) AS ln1f, round(1.0 / (SELECT count(*) FROM nm WHERE nm.fn = f1), 9) AS fnf FROM f")
