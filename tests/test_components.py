@@ -45,3 +45,16 @@ def test_shared_values_with_a_hot_value(spark):
     rows = [(i, "hot") for i in range(1000, 2000)] + [(i, f"v{i // 2}") for i in range(1000)] + [(5000, None), (7, "hot")]
     got = {r["vertex"]: r["component"] for r in groups_of_shared_values(spark.createDataFrame(rows, "id long, v string"), "v", "id").collect()}
     assert got[1500] == got[7] == got[6] == 6 and got[1] == 0 and 5000 not in got
+
+
+def test_thinned_edges_have_the_same_components(spark):
+    import random
+
+    from tributary.operators.components import thinned
+
+    r = random.Random(8)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(900, 901 + k) for k in range(50)] + [(901 + i, 901 + j) for i in range(50) for j in range(i)] + [(7000, 7000), (8000, None), (None, 8001)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    few = thinned(df, "a", "b")
+    assert few.where("a >= 900 AND a < 1000").count() <= 4 * 51
+    assert {tuple(x) for x in connected_components(few).collect()} == {tuple(x) for x in connected_components(df).collect()}

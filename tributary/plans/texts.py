@@ -255,9 +255,10 @@ def score(features: DataFrame) -> DataFrame:
     return features.select("k1", "k2", (1 / (1 + F.exp(-z))).alias("p"))
 
 
-def merge_by_score(authors: DataFrame, pairs: DataFrame, scorer=score, least: float = 0.5) -> DataFrame:
-    """Per project its authors, what they merge to where ``scorer`` gives a pair more than ``least``, and the reduction."""
-    return merged_counts(authors, scorer(similarity.pair_features(pairs)).where(F.col("p") > least).select("k1", "k2"))
+def merge_by_score(authors: DataFrame, scorer=score, least: float = 0.5) -> DataFrame:
+    """Per project its authors, what they merge to where ``scorer`` gives a pair more than ``least``, and the reduction. Pairs are compared once and leave as stars."""
+    linked = scorer(blocks.pair_features(authors, "project", "k", "author_name", "author_email")).where(F.col("p") > least)
+    return merged_counts(authors, materialise(components.thinned(linked, "k1", "k2"), "linked"))
 
 
 COMPONENTS_SQL = ", ed AS (SELECT k1 AS a, k2 AS b FROM lk UNION SELECT k2, k1 FROM lk), rc(v, c) AS (SELECT a, a FROM ed UNION SELECT ed.b, rc.c FROM rc JOIN ed ON ed.a = rc.v), cc AS MATERIALIZED (SELECT v, min(c) AS c FROM rc GROUP BY v) "
@@ -266,7 +267,7 @@ REDUCED_SQL = "SELECT project, count(*) AS distinct_pairs, count(DISTINCT coales
 
 @query(SCORED_SQL + ", lk AS MATERIALIZED (SELECT k1, k2 FROM g WHERE 1 / (1 + exp(-(6 * n + 4 * un + 3 * greatest(x1, x2) + 2 * e - 10.5))) > 0.5)" + COMPONENTS_SQL + REDUCED_SQL)
 def g04_merge_by_score(spark: SparkSession, d: str) -> DataFrame:
-    return merge_by_score(*all_features(spark, d))
+    return merge_by_score(authors(spark, d))
 
 
 def merged_counts(authors: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
