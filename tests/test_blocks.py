@@ -63,5 +63,31 @@ def test_pairs_are_neither_joined_nor_shuffled(spark):
     assert cells.count() == 900 and blocks.pair_features(df, "project", "k", "author_name", "author_email").count() == 900 * 899 // 2
 
 
+def test_message_similarity_of_all_pairs_matches_brute_force(spark, monkeypatch):
+    r, rows = random.Random(6), people(150)
+    words = {k: r.sample(range(-40, 40), r.randrange(1, 25)) for k in range(150) if k % 7}
+    profiles = [(k, ws, [r.choice([1, 2, 5, 9000]) for _ in ws]) for k, ws in words.items()]
+    a = spark.createDataFrame(rows, "project string, k long, author_name string, author_email string")
+    p = spark.createDataFrame(profiles, "k long, words array<long>, counts array<int>")
+    bows, want = {k: dict(zip(w, c)) for k, w, c in profiles}, {}
+    for x, y in paired(rows):
+        u, v = bows.get(x, {}), bows.get(y, {})
+        dot, norm = sum(u[w] * v[w] for w in u if w in v), np.sqrt(sum(c * c for c in u.values())) * np.sqrt(sum(c * c for c in v.values()))
+        want[x, y] = dot / norm if dot else 0.0
+    monkeypatch.setattr(blocks, "CELL_PART", 9)
+    got = blocks.message_similarity(a, p, "project", "k", "author_name", "author_email").collect()
+    assert len(got) == len(want) and {(q["k1"], q["k2"]): q["d2vsim"] for q in got} == want
+
+
+def test_products_in_parts(monkeypatch):
+    monkeypatch.setattr(blocks, "ENTRIES", 5)
+    r = np.random.default_rng(1)
+    table = r.integers(0, 3, (12, 9)) * r.integers(1, 50, (12, 9))
+    end = np.array([4] * 4 + [5] + [12] * 7)
+    row, word = np.nonzero(table)
+    x, y = blocks.partners(end, 0, 12)
+    assert blocks.products(end, 0, 12, row, word, table[row, word].astype(float)).tolist() == [float(table[i] @ table[j]) for i, j in zip(x, y)]
+
+
 def test_rounding_as_sql_does():
     assert blocks.rounded(np.array([0.1234565, 0.12345649, 1.0, 0.0]), 6).tolist() == [0.123457, 0.123456, 1.0, 0.0]

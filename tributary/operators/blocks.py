@@ -260,3 +260,57 @@ def pair_features(authors: DataFrame, project: str, key: str, name: str, email:
                 yield pa.RecordBatch.from_arrays(columns, names=["project", "k1", "k2", *FEATURES])
 
     return cells.mapInArrow(run, f"project {area}, k1 {kind}, k2 {kind}, " + ", ".join(f"{c} double" for c in FEATURES))
+
+
+ENTRIES = 500_000  #: products of counts, and pairs, held at a time
+
+
+def message_similarity(authors: DataFrame, profiles: DataFrame, project: str, key: str, name: str, email: str, digits: int | None = None) -> DataFrame:
+    """(project, k1, k2, d2vsim) of the pairs of :func:`similarity.blocked_author_pairs`: the cosine of the word counts (columns words, counts of ``profiles``) of two authors; 0 where either has none.
+
+    Words meet inside the cells of the blocks and their products are added up there, so what is shuffled are profiles, never pairs and words.
+    """
+    kind, area = (authors.schema[c].dataType.simpleString() for c in (key, project))
+    cells = block_cells(authors.join(profiles.select(key, "words", "counts"), key, "left"), project, key, name, email, words=F.col("words"), counts=F.col("counts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, end in whole_cells(batches):
+            first, n, area_of, k = Firsts(t), end - np.arange(len(end)) - 1, t["project"].combine_chunks(), t["k"].combine_chunks()
+            words, counts = (t[c].combine_chunks() for c in ("words", "counts"))
+            size = np.asarray(words.value_lengths().fill_null(0))
+            row, word, count = np.repeat(np.arange(len(end)), size), words.flatten().to_numpy(), counts.flatten().to_numpy().astype(np.float64)
+            norm = np.sqrt(np.bincount(row, count * count, len(end)))
+            start = np.flatnonzero(np.append(True, end[1:] != end[:-1]))
+            at = np.append(start, len(end))
+            for lo, hi in upto(np.add.reduceat(n, start), ENTRIES):
+                lo, hi = int(at[lo]), int(at[hi])
+                dot = products(end, lo, hi, *[c[slice(*np.searchsorted(row, [lo, hi]))] for c in (row, word, count)])
+                x, y = partners(end, lo, hi)
+                keep = np.flatnonzero(first(x, y))
+                x, y, dot = x[keep], y[keep], dot[keep]
+                both = norm[x] * norm[y]
+                like = np.divide(dot, both, out=np.zeros(len(dot)), where=both > 0)
+                left, right = pa.array(x), pa.array(y)
+                yield pa.RecordBatch.from_arrays([area_of.take(left), k.take(left), k.take(right), pa.array(rounded(like, digits))], names=["project", "k1", "k2", "d2vsim"])
+
+    return cells.mapInArrow(run, f"project {area}, k1 {kind}, k2 {kind}, d2vsim double")
+
+
+def products(end: np.ndarray, lo: int, hi: int, row: np.ndarray, word: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The sum over words of the products of counts, for each pair of ``partners(end, lo, hi)``."""
+    n = end[lo:hi] - np.arange(lo, hi) - 1
+    place = np.cumsum(n) - n - np.arange(lo, hi) - 1  # a pair (x, y) is number place[x] + y
+    order = np.lexsort((row, word, end[row]))
+    row, word, count = row[order], word[order], count[order]
+    new = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (end[row[1:]] != end[row[:-1]]))) if len(row) else np.zeros(0, dtype=np.int64)
+    size = np.diff(np.append(new, len(row)))
+    last = np.repeat(new + size, size)
+    out = np.zeros(int(n.sum()))
+    for a, z in upto(last - np.arange(len(row)) - 1, ENTRIES):
+        x, y = partners(last, a, z)
+        if len(x):
+            at = place[row[x] - lo] + row[y]
+            least = int(at.min())
+            sums = np.bincount(at - least, count[x] * count[y])
+            out[least : least + len(sums)] += sums
+    return out

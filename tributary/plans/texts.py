@@ -244,9 +244,8 @@ def f09_pair_rarity(spark: SparkSession, d: str) -> DataFrame:
 
 @query(FEATURES_SQL + COSINE_SQL + ", dt AS (SELECT k1, k2, sum(x.n * y.n) AS dot FROM pr JOIN bw x ON x.k = k1 JOIN bw y ON y.k = k2 AND y.tok = x.tok GROUP BY 1, 2) SELECT pr.project, pr.k1, pr.k2, round(coalesce(dot / (a.norm * b.norm), 0), 6) AS d2vsim FROM pr LEFT JOIN dt USING (k1, k2) LEFT JOIN nr a ON a.k = k1 LEFT JOIN nr b ON b.k = k2")
 def f10_message_similarity(spark: SparkSession, d: str) -> DataFrame:
-    a, p = all_features(spark, d)
-    s = similarity.message_similarity(p.select("project", "k1", "k2"), message_profiles(a, read(spark, d, CM)), "k")
-    return s.select("project", "k1", "k2", F.round("d2vsim", 6).alias("d2vsim"))
+    a = authors(spark, d)
+    return blocks.message_similarity(a, message_profiles(a, read(spark, d, CM)), "project", "k", "author_name", "author_email", digits=6)
 
 
 def score(features: DataFrame) -> DataFrame:
