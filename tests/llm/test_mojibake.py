@@ -53,3 +53,21 @@ def test_cited_replacement_characters_are_no_loss(spark, table):
     got = restored(spark, table, ["Fix � shown in place of ‘é’", "Print '�' for unknown bytes", "Drop (�) from names", "Ren�", "Gr��en — �ber", "a � b"])
     assert {i for i, v in got.items() if v == ""} == {3, 5}, got
     assert not {0, 1, 2} & set(got)
+
+
+def test_margins_come_from_all_rows(spark, table, monkeypatch):
+    extra = spark.createDataFrame([(20_000 + i, f"naïve café number {i}\nÜbersicht {i % 40}", None) for i in range(300)], "row_id long, author_name string, message string")
+    df, fields = table.unionByName(extra), ["author_name", "message"]
+    monkeypatch.setattr(M, "VALIDATION_ROWS", 1)
+    model = M.fit(df, fields)
+    lines = {x for r in df.collect() for f in fields if r[f] for x in r[f].split("\n") if not x.isascii() and M.surely_clean(x)}
+    kinds = [{}, {}]
+    for x in lines:
+        for kind, chain, g in M.gains(x, model):
+            kinds[kind].setdefault(chain, []).append(g)
+    want = {c: M.parting(kinds[0].get(c, []), g) for c, g in kinds[1].items() if len(g) >= M.LEAST_SAMPLES}
+    strict = max([M.parting(*[[g for v in d.values() for g in v] for d in kinds]), *want.values()])
+    assert len(lines) > 300 and M.margins(df, fields, model) == {c: want.get(c, strict) for c in M.CHAINS}
+    monkeypatch.setattr(M, "validated_margin", None)  # the sample decides nothing
+    bad = M.from_bytes(CLEAN[0].encode(), "cp1252")
+    assert restored(spark, table, [bad]) == {0: CLEAN[0]}
